@@ -77,21 +77,28 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([mark(t, x[i]) for i, t in enumerate(texts)], bool)
 
 
+def _normal(x: np.ndarray) -> np.ndarray:
+    x *= _SCALE
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
 def fit(texts: list[str], labels: list[str]) -> dict:
     """Landmark kernel ridge regression; the model holds one column of weights a language."""
     languages = sorted(set(labels))
-    x, ok = presence(texts)
-    x, y = x[ok] * _SCALE, np.array(labels, object)[ok]
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    y = np.array(labels, object)
+    lettered = np.array([bool(t) and (_letters(t) != 32).any() for t in texts], bool)
     rng, chosen = np.random.default_rng(7), []
     for lang in languages:
-        own = np.flatnonzero(y == lang)
-        chosen.append(rng.permutation(own)[:LANDMARKS])
-    land = x[np.concatenate(chosen)] if chosen else x[:0]
-    k_nm, k_mm = (x @ land.T).astype(np.float64), (land @ land.T).astype(np.float64)
-    target = np.where(y[:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
+        chosen.append(rng.permutation(np.flatnonzero((y == lang) & lettered))[:LANDMARKS])
+    unit = lambda which: _normal(presence([texts[i] for i in which])[0])
+    land = unit(np.concatenate(chosen)) if chosen else np.zeros((0, WIDTH), np.float32)
+    rows = np.flatnonzero(lettered)
+    k_nm = np.concatenate([unit(rows[i : i + BATCH]) @ land.T for i in range(0, len(rows), BATCH)] or [np.zeros((0, len(land)))]).astype(np.float64)
+    k_mm = (land @ land.T).astype(np.float64)
+    target = np.where(y[rows][:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
     alpha = np.linalg.solve(k_nm.T @ k_nm + RIDGE * k_mm + 1e-6 * np.eye(len(land)), k_nm.T @ target) if len(land) else np.zeros((0, len(languages)))
-    weights = (land.T.astype(np.float64) @ alpha).astype(np.float32) * _SCALE[:, None]
+    weights = (land.T @ alpha.astype(np.float32)) * _SCALE[:, None]
     n_last = 1 << ORDERS[-1][1]
     known = (land[:, -n_last:] > 0).any(0).astype(np.float32) if len(land) else np.zeros(n_last, np.float32)
     return {"languages": languages, "weights": weights, "known": known}
