@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, pii_crf, quality_ledger, secret_novelty, sentencepiece_spans, setsketch, sharding
+from . import language_id, media, mixing, pii_crf, quality_ledger, secret_novelty, sentencepiece_spans, setsketch, sharding, style_tree
 
-MODULES = (quality_ledger, secret_novelty, mixing, setsketch, pii_crf, language_id, sentencepiece_spans, sharding)
+MODULES = (quality_ledger, secret_novelty, mixing, media, style_tree, setsketch, pii_crf, language_id, sentencepiece_spans, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
