@@ -57,6 +57,18 @@ def _ranges(points: list[tuple]):
     return ranges(*_KEY)
 
 
+def _running(drawn: DataFrame) -> DataFrame:
+    """Adds upto, the sum of times up to each key: sums within key ranges, and those of the ranges before."""
+    parts = cut(drawn.repartitionByRange(*_order()).withColumn("part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, times in parts.groupBy("part").agg(F.sum("times")).orderBy("part").collect():
+        offsets.append((part, before))
+        before += times
+    starts = drawn.sparkSession.createDataFrame(offsets, "part int, before long")
+    within = F.sum("times").over(Window.partitionBy("part").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(starts), "part").withColumn("upto", F.col("before") + within)
+
+
 def boundaries(docs: DataFrame, target: int = TARGET_BYTES) -> list[tuple]:
     """Sorted keys; a record belongs after those that are below its own. One is kept a shard, on the driver."""
     size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + RECORD_BYTES).cast("long")
@@ -67,8 +79,7 @@ def boundaries(docs: DataFrame, target: int = TARGET_BYTES) -> list[tuple]:
     drawn = keys.withColumn("times", F.floor(F.col("size") / F.lit(interval or 1.0) + uniform(SEED, F.col("k1"), F.col("k2"), F.col("k3"))).cast("long")).filter("times > 0")
     drawn = drawn.groupBy(*_KEY).agg(F.sum("times").alias("times"))
     whole = drawn.agg(F.sum("times")).first()[0] or 1
-    upto = F.sum("times").over(Window.orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0))
-    at = drawn.withColumn("upto", upto)
+    at = _running(drawn)
     chosen = at.filter(F.expr(f"upto * {shards} DIV {whole} > (upto - times) * {shards} DIV {whole} AND upto < {whole}"))
     points = sorted({_place(*r) for r in chosen.select(*_KEY).collect()})
     within = keys.withColumn("range", _ranges(points))
