@@ -6,7 +6,9 @@ an exponentially spaced scale. Registers of a union are the maximum of the
 registers (``merge``), and equal registers mark similar sets, so that bands of
 them are search keys. Documents of a bucket are compared with its leaders by the
 joint likelihood of their registers; pairs that may reach the threshold are
-verified on the exact shingle sets, and verified pairs are joined to groups.
+verified on the exact shingle sets, and verified pairs are joined to groups. The
+members of a bucket that this leaves in different groups are then compared with
+each other, so that no pair of a bucket is untried unless verified pairs join it.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters
 of the lower-cased text. A document with fewer words than a shingle has one
@@ -163,11 +165,13 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _leaders(batches, least: float):
-    """Pairs (leader, member) of rows sorted by bucket that may reach ``least``.
+    """(a, b, null): pairs of leader and member, of rows sorted by bucket, that may reach ``least``; (a, null, key): members to compare.
 
     The first of a bucket leads it; whoever resembles none of its leaders becomes
     one, and every member of the batch's part of the bucket is compared with all.
-    Of a bucket that goes on in the next batch only the leaders are kept.
+    Of a bucket that goes on in the next batch only the leaders are kept. Members
+    not yet compared with each other are two or more that don't lead, and those of
+    a bucket at the end of a batch, which may go on.
     """
     open_key, open_rows = None, []
     for batch in batches:
@@ -178,6 +182,7 @@ def _leaders(batches, least: float):
         size = np.asarray(batch.column("size")).astype(np.float64)
         regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(len(key), -1)
         led = []
+        split = {key[-1], open_key}
         if open_key is not None and key[0] == open_key:
             u0, s0, r0 = open_rows
             key, uid, size = np.concatenate([np.full(len(u0), open_key), key]), np.concatenate([u0, uid]), np.concatenate([s0, size])
@@ -211,9 +216,53 @@ def _leaders(batches, least: float):
                 b_out.append(uid[m[like]])
         last = np.flatnonzero(leader & (bucket == bucket[-1]))
         open_key, open_rows = key[-1], (uid[last], size[last], regs[last].copy())
+        loose = ~leader & (np.bincount(bucket[~leader], minlength=len(first))[bucket] > 1)
+        for k in split - {None}:
+            loose |= key == k
         if a_out:
             a, b = np.concatenate(a_out), np.concatenate(b_out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+        if loose.any():
+            yield pa.RecordBatch.from_arrays([pa.array(uid[loose]), pa.nulls(int(loose.sum()), pa.int64()), pa.array(key[loose])], ["a", "b", "key"])
+
+
+def _apart(batches, least: float):
+    """Pairs of different roots, of rows sorted by bucket, that may reach ``least``: all pairs of each bucket are compared."""
+    rest = None
+
+    def pairs(key, uid, root, size, regs):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        end = np.repeat(np.r_[first[1:], len(key)], np.diff(np.r_[first, len(key)]))
+        row, step = np.arange(len(key)), 0
+        while len(row):
+            step += 1
+            row = row[row + step < end[row]]
+            x = row[root[row] != root[row + step]]
+            for s in range(0, len(x), 1 << 16):
+                i = x[s : s + (1 << 16)]
+                j = i + step
+                like = joint_estimate(regs[i], regs[j], size[i], size[j]) >= least
+                if like.any():
+                    a, b = uid[i[like]], uid[j[like]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.asarray(batch.column(c)) for c in ("key", "uid", "root", "size")]
+        rows[3] = rows[3].astype(np.float64)
+        rows.append(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(batch.num_rows, -1))
+        if rest is not None:
+            if rows[0][0] == rest[0][0][0] == rows[0][-1]:  # the open bucket goes on: joined when it ends
+                for held, new in zip(rest, rows):
+                    held.append(new)
+                continue
+            rows = [np.concatenate([*held, new]) for held, new in zip(rest, rows)]
+        at = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+        yield from pairs(*[r[:at] for r in rows]) if at else ()
+        rest = [[r[at:].copy()] for r in rows]
+    if rest is not None:
+        yield from pairs(*[np.concatenate(held) for held in rest])
 
 
 def _sets(batches):
@@ -279,20 +328,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         crowded.join(units.select("uid", "size", "regs"), "uid")
         .repartition("key").sortWithinPartitions("key", "uid")
         .select("key", "uid", "size", "regs")
-        .mapInArrow(lambda it: _leaders(it, least), "a long, b long")
+        .mapInArrow(lambda it: _leaders(it, least), "a long, b long, key long")
     )
-    pairs = cut(pairs.distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(rep, "uid").select("uid", "doc_id", "th")
+    searched = cut(pairs.distinct())
+    pairs, loose = searched.filter("key is null").select("a", "b"), searched.filter("key is not null").select("key", F.col("a").alias("uid"))
+    named = searched.select(F.explode(F.array("a", "b")).alias("uid")).filter("uid is not null").distinct().join(rep, "uid").select("uid", "doc_id", "th")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
     wanted = named.select("uid", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("th").alias("t"))
     found = texts.join(wanted, ["d", "t"]).select("uid", "text").mapInArrow(_sets, "uid long, shingles binary")
     found = cut(found.dropDuplicates(["uid"]))
-    verified = (
-        pairs.join(found.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(found.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
-        .select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(found.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(found.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
+            .select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
+        )
+
+    roots = components(verified(pairs))
+    bucket = Window.partitionBy("key")
+    rooted = loose.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    mixed = rooted.withColumn("least", F.min("root").over(bucket)).withColumn("most", F.max("root").over(bucket)).filter("least < most").select("key", "uid", "root")
+    others = (
+        mixed.join(units.select("uid", "size", "regs"), "uid")
+        .repartition("key").sortWithinPartitions("key", "uid")
+        .select("key", "uid", "root", "size", "regs")
+        .mapInArrow(lambda it: _apart(it, least), "a long, b long")
     )
-    roots = components(verified).withColumnRenamed("uid", "rep")
+    others = cut(verified(others.distinct().join(pairs, ["a", "b"], "left_anti")))
+    if not others.isEmpty():
+        roots = components(others.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
+    roots = roots.withColumnRenamed("uid", "rep")
     grouped = rep.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     w = Window.partitionBy("root")
     first = F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "uid"))
