@@ -340,6 +340,15 @@ def near_dup_jaccard(spark, sf):
     return vectors.jaccard_pairs(sets)
 
 
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2)) AS toks FROM documents),
+u AS (SELECT doc_id, unnest(toks) AS token FROM t), s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT s.a, s.b, round(n / (len(x.toks) + len(y.toks) - n), 6) AS jaccard FROM s JOIN t x ON x.doc_id = s.a JOIN t y ON y.doc_id = s.b WHERE round(n / (len(x.toks) + len(y.toks) - n), 6) >= 0.6""")
+def near_dup_jaccard_all(spark, sf):
+    """near_dup_jaccard without its block: copies in different sources are pairs too."""
+    sets = _t(spark, sf, "documents").select(F.lit(0).alias("block"), F.col("doc_id").alias("id"), F.array_distinct(X.search_tokens(F.col("text"), stop=False)).alias("tokens"))
+    return vectors.jaccard_pairs(sets).drop("block")
+
+
 @query(f"""WITH RECURSIVE {_GRAPH}, nodes AS (SELECT caller AS id FROM edges UNION SELECT callee FROM edges), size AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT caller, count(*) AS degree FROM edges GROUP BY caller),
 it AS (SELECT 0 AS k, id, 1.0::DOUBLE / (SELECT n FROM size) AS rank FROM nodes
   UNION ALL SELECT k + 1, id, 0.15 / n + 0.85 * (given + loose / n) FROM (
