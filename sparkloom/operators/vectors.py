@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 BUCKETS = 256
+#: Vectors of a block of the exact product, about.
+BLOCK = 1024
 
 
 def bucket(token: Column) -> Column:
@@ -55,6 +59,37 @@ def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return pairs.select("query", "item", F.round(dot(F.col("vector"), F.col("other")), 9).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _block_scores(batches, k: int):
+    def block(rows):
+        vectors = rows.field("vector")
+        return np.asarray(rows.field("item")), np.asarray(vectors.flatten()).astype(np.float64).reshape(len(rows), -1)
+
+    for batch in batches:
+        for n in range(batch.num_rows):
+            asked, a = block(batch.column("asked")[n].values)
+            other, b = block(batch.column("other")[n].values)
+            score = a @ b.T
+            score[asked[:, None] == other] = -np.inf
+            m = min(k, len(other))
+            least = np.partition(score, -m, axis=1)[:, -m] - 2e-9  # more than rounding to 9 decimals can bring together
+            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(other[j]), pa.array(score[i, j])], ["query", "item", "score"])
+
+
+def nearest_all(items: DataFrame, k: int) -> DataFrame:
+    """(query, item, rank) of every one of items(item, vector) among the others; exact, by products of two blocks.
+
+    Ids are whole numbers and unique, vectors of one length and not null.
+    """
+    blocks = max(1, -(-items.count() // BLOCK))
+    numbered = items.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.struct(F.col("item").cast("long").alias("item"), "vector").alias("row"))
+    packed = numbered.groupBy("block").agg(F.collect_list("row").alias("rows"))
+    pairs = packed.select(F.col("rows").alias("asked")).repartition(blocks).crossJoin(packed.select(F.col("rows").alias("other")))
+    scores = pairs.mapInArrow(lambda it: _block_scores(it, k), "query long, item long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return scores.select("query", "item", F.round("score", 9).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(block, a, b, jaccard) of sets(block, id, tokens) of one block, exactly.
 

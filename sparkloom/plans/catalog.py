@@ -255,6 +255,17 @@ def recall_at_k(spark, sf):
     return aggregates.recall_report(got.groupBy((F.col("want") % 3).alias("class"), F.col("query").alias("id")).agg(F.bool_or(F.col("want") == F.col("got")).alias("hit")))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query, q.label AS want, e.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id), h AS (SELECT query, want % 3 AS class, bool_or(want = got) AS hit FROM s WHERE r <= 5 GROUP BY ALL)
+SELECT class, count(*) AS n, count(*) FILTER (hit) AS hits, coalesce(list(query ORDER BY query) FILTER (NOT hit), []) AS misses, round(count(*) FILTER (hit) / count(*), 3) AS rate FROM h GROUP BY ROLLUP (class)""")
+def recall_at_k_all(spark, sf):
+    """recall_at_k with every embedding as a query."""
+    e = _t(spark, sf, "embeddings")
+    near = vectors.nearest_all(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 5)
+    got = near.join(e.select(F.col("vec_id").alias("item"), F.col("label").alias("got")), "item").join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("want")), "query")
+    return aggregates.recall_report(got.groupBy((F.col("want") % 3).alias("class"), F.col("query").alias("id")).agg(F.bool_or(F.col("want") == F.col("got")).alias("hit")))
+
+
 @query("""WITH c AS (SELECT list_sort(list(n_chars))[1 + floor(.75 * (count(*) - 1))::BIGINT] AS cut FROM documents)
 SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS covered, count(*) AS total FROM documents, c WHERE n_chars >= cut""")
 def coverage_quantile(spark, sf):

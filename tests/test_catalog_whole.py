@@ -2,6 +2,9 @@
 
 import itertools
 
+import numpy as np
+
+from sparkloom.operators import vectors
 from sparkloom.plans import catalog
 
 
@@ -13,3 +16,17 @@ def test_near_duplicates_cross_sources(spark, tmp_path):
     want = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) for i, j in itertools.combinations(range(len(rows)), 2)}
     got = {(r["a"], r["b"]): r["jaccard"] for r in catalog.QUERIES["near_dup_jaccard_all"](spark, str(tmp_path)).collect()}
     assert got == {k: v for k, v in want.items() if v >= 0.6} and (0, 1) in got
+
+
+def test_recall_asks_every_vector(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 8)).astype(np.float32)
+    v[50:60] = v[40]  # ties go by id
+    label = rng.integers(0, 10, 90)
+    spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = np.round(v.astype(float) @ v.T.astype(float), 9)
+    near = [sorted((-score[i, j], j) for j in range(90) if j != i)[:5] for i in range(90)]
+    missed = [i for i in range(90) if not any(label[j] == label[i] for _, j in near[i])]
+    got = {r["class"]: r for r in catalog.QUERIES["recall_at_k_all"](spark, str(tmp_path)).collect()}
+    assert got[None]["n"] == 90 and got[None]["misses"] == missed and got[None]["hits"] == 90 - len(missed)
