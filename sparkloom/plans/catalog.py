@@ -108,6 +108,16 @@ def edges_by_token(spark, sf):
     return joins.token_edges(docs, names.select(F.col("name").alias("id"), "name"))
 
 
+@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark),
+tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents)
+SELECT 'd' || doc_id AS caller, name AS callee FROM tokens JOIN names ON token = name""")
+def edges_by_token_all(spark, sf):
+    """edges_by_token with names of any length that the identifier pattern has."""
+    names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct()
+    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"))
+    return joins.token_edges(docs, names.select(F.col("name").alias("id"), "name"))
+
+
 @query("""WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), n AS (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS e FROM k)
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, greatest(coalesce(n.e, 99), l.l_linenumber)::INTEGER AS "end" FROM lineitem l JOIN n USING (l_orderkey, l_linenumber)""")
 def span_lead_a(spark, sf):
@@ -478,6 +488,18 @@ def incremental_equals_full(spark, sf):
     return state.incremental_edges(joins.token_edges(before, names), symbols, changed, lambda dirty: joins.token_edges(docs.join(dirty.select("id"), "id", "left_semi"), names))
 
 
+@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark)
+SELECT DISTINCT 'd' || doc_id AS caller, token AS callee FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents) WHERE token IN (SELECT name FROM names)""")
+def incremental_equals_full_all(spark, sf):
+    """incremental_equals_full with names of any length that the identifier pattern has."""
+    names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct().select(F.col("name").alias("id"), "name")
+    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"), "doc_id")
+    before = docs.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit("other Words")).otherwise(F.col("body")))
+    symbols = docs.select("id", "path").unionByName(names.select("id", F.lit("names").alias("path")))
+    changed = docs.filter("doc_id % 7 = 0").select("path")
+    return state.incremental_edges(joins.token_edges(before, names), symbols, changed, lambda dirty: joins.token_edges(docs.join(dirty.select("id"), "id", "left_semi"), names))
+
+
 @query("""SELECT source AS module, count(*) AS n, sha256(string_agg(chr(0) || text, '' ORDER BY text)) AS hash FROM documents GROUP BY source""")
 def module_synthesis_hash(spark, sf):
     return state.synthesis_inputs(_t(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("preview")))

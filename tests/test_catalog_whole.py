@@ -30,3 +30,11 @@ def test_recall_asks_every_vector(spark, tmp_path, monkeypatch):
     missed = [i for i in range(90) if not any(label[j] == label[i] for _, j in near[i])]
     got = {r["class"]: r for r in catalog.QUERIES["recall_at_k_all"](spark, str(tmp_path)).collect()}
     assert got[None]["n"] == 90 and got[None]["misses"] == missed and got[None]["hits"] == 90 - len(missed)
+
+
+def test_edges_of_short_names(spark, tmp_path):
+    spark.createDataFrame([(0, "the river ab longer_name")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "s", "the ab longer_name"), (8, "s", "river the the")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [("d7", "longer_name"), ("d7", "the"), ("d8", "river"), ("d8", "the")]
+    for name in ("edges_by_token_all", "incremental_equals_full_all"):
+        assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("caller", "callee").collect()) == want
