@@ -13,7 +13,9 @@ repeated secret isn't explained by its repetition.
 
 Defined cases: null and empty texts have no candidates. Texts are scanned whole.
 Repeated rows are scanned alike. A value that more than one pattern finds is one
-candidate, of the pattern named first. An empty table gives no rows. Values aren't
+candidate, of the pattern named first. An assigned value in quotes goes to the
+closing quote on its line, whatever it holds; if it has white space, it may hold
+other candidates. One without quotes has letters, digits and +/_.~!@^=- only. An empty table gives no rows. Values aren't
 returned, only their place (code points), length and SHA-256. Other columns are
 neither read nor returned.
 """
@@ -37,7 +39,10 @@ LEAST_RATIO = 0.55
 
 _NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|encryption[_-]?key|credential|authorization|auth[_-]?key|client[_-]?secret|signing[_-]?key"
 _VALUE = r"[A-Za-z0-9+/_.~!@^-]{7,}[A-Za-z0-9+/=_~-]"
+#: Opened by one quote, or three, escaped or not, and closed by the same on its line.
+_QUOTED = r"(?P<q>\\?(?:\x22{3}|'{3}|[\x22'`]))(?P<v>(?:(?!(?P=q))(?:\\[^\n]|[^\\\n])){8,}+)(?P=q)"
 PATTERNS = (
+    ("assignment", re.compile(rf"(?i)(?:{_NAMES})[A-Za-z0-9_]{{0,24}}[^A-Za-z0-9\n]{{0,8}}[:=][^A-Za-z0-9\n\x22'`\\]{{0,8}}?{_QUOTED}")),
     ("assignment", re.compile(rf"(?i)(?:{_NAMES})[A-Za-z0-9_]{{0,24}}[^A-Za-z0-9\n]{{0,8}}[:=][^A-Za-z0-9\n]{{0,8}}?(?P<v>{_VALUE})")),
     ("bearer", re.compile(r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9+/=_.~-]{12,})")),
     ("url", re.compile(r"://[^\s/:@]{1,64}:(?P<v>[^\s/:@]{8,})@")),
@@ -84,13 +89,17 @@ def novelty(value: str, around: str) -> int:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, pattern) of each candidate, in order."""
     taken: dict[tuple[int, int], str] = {}
+    phrases = set()
     for kind, pattern in PATTERNS:
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span("v")
             at = max(b, m.start() + 1)
-            if not any(x < b and a < y for x, y in taken):
+            if not any(x < b and a < y and (a == x or (x, y) not in phrases) for x, y in taken):
                 taken[a, b] = kind
+                if "q" in m.groupdict() and any(c.isspace() for c in text[a:b]):
+                    phrases.add((a, b))
+                    at = a
     return sorted((a, b, k) for (a, b), k in taken.items())
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.llm import setsketch
+from sparkloom.llm import secret_novelty, setsketch
 
 
 def _star(copies: int, words: int = 400, edited: float = 0.065):
@@ -27,3 +27,17 @@ def test_copies_of_a_late_original_are_one_group(spark, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(like) > 250 and sum(got[i] == got[150] for i in like) >= 0.99 * len(like)
+
+
+@pytest.mark.parametrize("value", ["Xk9$mP2#vL8&qR5wZ7t", "tR7#kLm29xQz4Vb8Yw", "abcD9f#kLm29xQz4Vb8Yw1", "q;T%7*(Zp)2,w{K}9|m?"])
+@pytest.mark.parametrize("quote", ['"', "'", "`", '"""', '\\"'])
+def test_quoted_secrets_are_whole(value, quote):
+    text = f"config: user = root, password = {quote}{value}{quote} and host: {quote}example.com{quote} end"
+    assert [text[a:b] for a, b, _, _, _, said, _ in secret_novelty.scan(text) if said] == [value]
+
+
+def test_secrets_inside_quoted_text_are_found():
+    inner = "9f8c2d7b61e04a35b8f1c6d29e7a0b43"
+    text = f'token: "see the example, the default password = {inner} of the server" and api_key = "it is \\"9$f#Zq2!xK7&\\" ok"'
+    found = {text[a:b] for a, b, *_ in secret_novelty.candidates(text)}
+    assert inner in found and 'it is \\"9$f#Zq2!xK7&\\" ok' in found
