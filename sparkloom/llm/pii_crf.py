@@ -5,8 +5,8 @@ are fixed to no entity, so that the field over whole texts reduces to them
 exactly. Neighbouring words share transition potentials, and words that repeat
 or resemble an earlier one of the document (same letters and digits, same last
 seven digits, same local part of an address) share skip potentials with it at any
-distance. Damped loopy sum-product messages give each word's marginals; the most
-probable labels are joined to spans.
+distance. Damped loopy sum-product messages, sent in each document until they
+settle, give each word's marginals; the most probable labels are joined to spans.
 
 The weights are fitted by pseudo-likelihood on sentences made from templates with
 a fixed seed; no table is read for it.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import row_of, table, unrow
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN")
-ROUNDS = 12
+#: Messages of a document have settled when none changes by more; should they never, they end after 100 rounds and two a word.
+TOLERANCE = 1e-6
 DAMPING = 0.3
 TRAIN_SENTENCES = 2500
 L = len(LABELS)
@@ -174,8 +175,8 @@ class Field:
         """Label probabilities of each document's words, all documents as one graph."""
         total = sum(len(d[0]) for d in docs)
         phi = np.zeros((total, L))
-        a_ends, b_ends, kinds, at = [], [], [], 0
-        for feats, joined, pairs in docs:
+        a_ends, b_ends, kinds, owner, at = [], [], [], [], 0
+        for n, (feats, joined, pairs) in enumerate(docs):
             for i, f in enumerate(feats):
                 phi[at + i] = self.unary[f].sum(0)
                 left = joined[i]
@@ -192,6 +193,7 @@ class Field:
                 a_ends.append(at + i)
                 b_ends.append(at + j)
                 kinds.append(1)
+            owner += [n] * (len(kinds) - len(owner))
             at += len(feats)
         belief = phi.copy()
         if a_ends:
@@ -200,15 +202,23 @@ class Field:
             src, dst = np.concatenate([a, b]), np.concatenate([b, a])
             pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
+            owner = np.concatenate([owner, owner])
+            most = 100 + 2 * np.array([len(d[0]) for d in docs])
             msg = np.zeros((len(src), L))
-            for _ in range(ROUNDS):
-                x = (belief[src] - msg[back])[:, :, None] + pots
+            live, rounds = np.arange(len(src)), 0  # edges of the documents that haven't settled
+            while len(live):
+                rounds += 1
+                x = (belief[src[live]] - msg[back[live]])[:, :, None] + pots[live]
                 top = x.max(1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
                 new -= new.max(1, keepdims=True)
-                msg = DAMPING * msg + (1 - DAMPING) * new
-                belief = phi.copy()
-                np.add.at(belief, dst, msg)
+                change = np.zeros(len(docs))
+                np.maximum.at(change, owner[live], np.abs(new - msg[live]).max(1))
+                msg[live] = DAMPING * msg[live] + (1 - DAMPING) * new
+                at = dst[live]
+                belief[at] = phi[at]
+                np.add.at(belief, at, msg[live])
+                live = live[((change > TOLERANCE) & (rounds < most))[owner[live]]]
         p = np.exp(belief - belief.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         return np.split(p, np.cumsum([len(d[0]) for d in docs])[:-1])

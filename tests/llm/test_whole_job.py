@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.llm import secret_novelty, setsketch
+from sparkloom.llm import pii_crf, secret_novelty, setsketch
 
 
 def _star(copies: int, words: int = 400, edited: float = 0.065):
@@ -41,3 +41,20 @@ def test_secrets_inside_quoted_text_are_found():
     text = f'token: "see the example, the default password = {inner} of the server" and api_key = "it is \\"9$f#Zq2!xK7&\\" ok"'
     found = {text[a:b] for a, b, *_ in secret_novelty.candidates(text)}
     assert inner in found and 'it is \\"9$f#Zq2!xK7&\\" ok' in found
+
+
+def test_messages_reach_the_last_of_many_repeats():
+    L, n = pii_crf.L, 40
+    rng = np.random.default_rng(5)
+    f = pii_crf.Field(rng.normal(size=(pii_crf.N_FEATURES, L)) * 0.01, np.zeros((L, L)), 5.0 * np.eye(L))
+    f.unary[0, 2] = 9.0  # the cue, at the first mention only
+    feats = [[0]] + [[1]] * (n - 1)
+    got = f.marginals([(feats, [False] * n, [(i, i + 1) for i in range(n - 1)]), ([[1]], [False], [])])
+    u = [np.exp(f.unary[x].sum(0)) for x in feats]
+    left, right, k = [np.ones(L)], [np.ones(L)], np.exp(f.skip)
+    for i in range(n - 1):
+        left.append((left[-1] * u[i]) @ k / 1e3)
+        right.append(k @ (right[-1] * u[n - 1 - i]) / 1e3)
+    want = np.array([a * b * c for a, b, c in zip(left, u, right[::-1])])
+    assert np.allclose(got[0], want / want.sum(1, keepdims=True), atol=1e-4)
+    assert got[0][-1].argmax() == 2 and got[0][-1][2] > 0.3
