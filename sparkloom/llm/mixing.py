@@ -6,17 +6,28 @@ own. Each document is repeated by the inverse, at a uniform number hashed from
 seed and id, of the Poisson distribution with that mean, and the copies are
 shuffled globally by another hash.
 
+The distribution is tabled within ten standard deviations (and 40) of its mean;
+what lies outside is less than the 52 bits of the uniform number can tell.
+
 Defined cases: sizes are taken from n_chars, a null or negative one counting as
 0. If a source has no characters its rate is 1. A null source is a source of its
-own, with the default weight. Rows with the same id (null too) are repeated
-alike. Texts aren't read, so null, empty and long ones pass unchanged. Equal
-shuffle keys are ordered by id. An empty table gives no rows. The copies have the
-input's columns; ``replicate`` adds its own beside the struct ``row``.
+own, with the default weight. A row without an id is drawn by its text's MD5.
+Rows that share an id, or lack one, draw by their position as well, so that they
+aren't all repeated alike; the table is then written once, positions with it. A
+rate above MAX_RATE copies a document is a ValueError that names the
+source: its weight asks for more than replication can give. Null, empty and long
+texts pass unchanged. Equal shuffle keys are ordered by id. An empty table gives
+no rows. The copies have the input's columns; ``replicate`` adds its own beside
+the struct ``row``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, row_of, table, uniform, unrow
@@ -25,12 +36,31 @@ SEED = "mix-1"
 #: Relative weights; sources that aren't named have DEFAULT_WEIGHT.
 WEIGHTS = {"src0": 2.0}
 DEFAULT_WEIGHT = 1.0
-#: The rates are broadcast up to so many sources, else joined by shuffling.
-BROADCAST_SOURCES = 20_000
+#: Most copies of a document that a weight may ask for.
+MAX_RATE = 1e6
+#: The rates' tables are broadcast up to so many numbers, 32 MB, else joined by shuffling; so are the keys of repeated rows.
+BROADCAST_NUMBERS = 4_000_000
+BROADCAST_KEYS = 500_000
+
+
+def poisson_table(rate: float) -> tuple[int, np.ndarray]:
+    """(k, probabilities of at most k, k + 1, k + 2… copies) around the mean; below k there is nothing that a draw can meet."""
+    if not rate > 0:
+        return 0, np.ones(1)
+    wide = 10 * math.sqrt(rate) + 40
+    low, high = max(0, math.floor(rate - wide)), math.ceil(rate + wide)
+    steps = math.log(rate) - np.log(np.arange(low + 1, high + 1, dtype=np.float64))
+    first = low * math.log(rate) - rate - math.lgamma(low + 1)
+    return low, np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])))
+
+
+def _tables(rates: pa.Array) -> pa.Array:
+    made = [poisson_table(r) for r in rates.to_pylist()]
+    return pa.array([{"low": low, "cdf": cdf} for low, cdf in made], pa.struct([("low", pa.int32()), ("cdf", pa.list_(pa.float64()))]))
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT) -> DataFrame:
-    """(source, rate, cdf): the cumulative Poisson probabilities of 0, 1, 2… copies."""
+    """(source, rate): the mean number of copies."""
     weights = WEIGHTS if weights is None else weights
     size = F.sum(F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)))
     per = docs.groupBy(F.col("source").cast("string").alias("source")).agg(size.alias("size"))
@@ -40,31 +70,41 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, d
     per = per.withColumn("weight", weight)
     total = per.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("size") > 0, F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(1.0)
-    rated = per.crossJoin(total).select("source", rate.alias("rate"))
-    most = F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 40).cast("int")
-    start = F.struct((-F.col("rate")).alias("lp"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    return per.crossJoin(total).select("source", rate.alias("rate"))
+
+
+def _identity(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by: its id, or its text's MD5."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
 
-    def step(s, j):
-        lp = s["lp"] + F.log("rate") - F.log(j.cast("double"))
-        return F.struct(lp.alias("lp"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + F.exp(lp))).alias("cdf"))
 
-    cdf = F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), most), start, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
-    return rated.select("source", "rate", cdf.alias("cdf"))
+def _drawn(docs: DataFrame, seed: str, broadcast_keys: int) -> DataFrame:
+    """(row, mark): the draw's identity of each row, with a position where its id, or its lack of one, occurs again."""
+    rows = row_of(docs).withColumn("mark", _identity(F.col("row.doc_id"), F.col("row.text")))
+    twice = cut(docs.groupBy(F.col("doc_id").cast("string").alias("again")).agg(F.count("*").alias("c")).filter("c > 1").select("again", F.lit(True).alias("found")))
+    n = twice.count()
+    if not n:
+        return rows
+    placed = cut(rows.withColumn("place", F.monotonically_increasing_id()))  # written, as a task that runs again may number its rows otherwise
+    held = placed.join(F.broadcast(twice) if n <= broadcast_keys else twice, F.col("row.doc_id").cast("string").eqNullSafe(F.col("again")), "left")
+    return held.select("row", F.when(F.col("found"), F.concat_ws("#", "mark", F.col("place").cast("string"))).otherwise(F.col("mark")).alias("mark"))
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
+def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED, broadcast_numbers: int = BROADCAST_NUMBERS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(row, rate, copy, shuffle_key), globally shuffled; ``rates`` from repetition_rates."""
     rates = cut(rates)
-    small = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    small = small.select(F.col("source").alias("rated_source"), "rate", "cdf")
-    rows = row_of(docs)
-    drawn = rows.join(small, F.col("row.source").cast("string").eqNullSafe(F.col("rated_source")))
-    u = uniform(seed, F.col("row.doc_id"))
-    copies = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    drawn = drawn.withColumn("u", u).select("row", "rate", copies.alias("n")).filter("n > 0")
-    out = drawn.select("row", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    out = out.withColumn("shuffle_key", uniform(seed, "shuffle", F.col("row.doc_id"), F.col("copy")))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "row.doc_id")
+    known = rates.agg(F.sum(20 * F.sqrt(F.least("rate", F.lit(MAX_RATE))) + 82).alias("numbers"), F.max("rate").alias("most"), F.max_by("source", "rate").alias("source")).first()
+    if known["most"] is not None and known["most"] > MAX_RATE:
+        raise ValueError(f"the weights ask for {known['most']:.3g} copies of each document of source {known['source']!r}; at most {MAX_RATE:.0e} are made")
+    tables = rates.select(F.col("source").alias("rated_source"), "rate", F.arrow_udf(_tables, "struct<low:int,cdf:array<double>>")("rate").alias("t")).select("rated_source", "rate", "t.low", "t.cdf")
+    if (known["numbers"] or 0) <= broadcast_numbers:
+        tables = F.broadcast(tables)
+    drawn = _drawn(docs, seed, broadcast_keys).join(tables, F.col("row.source").cast("string").eqNullSafe(F.col("rated_source")))
+    copies = F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    drawn = drawn.withColumn("u", uniform(seed, F.col("mark"))).select("row", "mark", "rate", copies.alias("n")).filter("n > 0")
+    out = drawn.select("row", "mark", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    out = out.withColumn("shuffle_key", uniform(seed, "shuffle", F.col("mark"), F.col("copy")))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "mark").select("row", "rate", "copy", "shuffle_key")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
