@@ -3,12 +3,14 @@
 Bytes are decoded to arrays of 8-bit samples (Netpbm P1 to P7 with 1 to 4
 channels, samples of up to 16 bits scaled; BMP uncompressed with 1, 4, 8, 16, 24
 or 32 bits and bit fields), resized by area averages read off an integral image,
-and cut into tiles, each an NPY file. The difference hash compares neighbours of
-a 9 by 8 grey resizing, so that equal and nearly equal images have equal or near
-hashes.
-
-Defined cases: null, empty, truncated and unknown data give one row with
-``error`` and no tile. Images of any size, and smaller than the target, are
+and cut into tiles, each an NPY file. Of the integral image only the rows that
+are read off are kept; those between are summed up in bands. The difference hash
+compares neighbours of a 9 by 8 grey resizing, so that equal and nearly equal
+images have equal or near hashes.
+
+Defined cases: null, empty, truncated, malformed and unknown data give one row
+with ``error`` and no tile; negative samples are malformed, and those above the
+greatest value count as it. Images of any size, and smaller than the target, are
 resized from all their samples. Repeated rows give their tiles each. An empty
 table gives no rows. Other columns are neither read nor returned.
 """
@@ -66,7 +68,7 @@ def _netpbm(data: bytes) -> np.ndarray:
         most = 1 if kind in (1, 4) else number()
         depth = 3 if kind in (3, 6) else 1
         at += 1
-    if not (w and h and 0 < most < 65536 and 1 <= depth <= 4):
+    if not (w > 0 and h > 0 and 0 < most < 65536 and 1 <= depth <= 4):
         raise BadImage("bad header")
     count = w * h * depth
     if kind in (1, 2, 3):
@@ -75,10 +77,9 @@ def _netpbm(data: bytes) -> np.ndarray:
             raw = np.frombuffer(body, np.uint8)
             raw = raw[(raw == 48) | (raw == 49)] - 48
         else:
-            try:
-                raw = np.array(body.split(), np.int64)
-            except ValueError:
-                raise BadImage("bad samples") from None
+            if body.translate(None, b"0123456789 \t\r\n\v\f"):
+                raise BadImage("bad samples")
+            raw = np.array([int(v) if len(v) < 10 else 1 << 30 for v in body.split()], np.int64)
     elif kind == 4:
         stride = (w + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=min(at, n))
@@ -87,15 +88,14 @@ def _netpbm(data: bytes) -> np.ndarray:
         raw = np.unpackbits(raw[: stride * h].reshape(h, stride), axis=1)[:, :w].reshape(-1)
     else:
         item = 2 if most > 255 else 1
-        raw = np.frombuffer(data[at : at + count * item], ">u2" if item == 2 else np.uint8) if n - at >= count * item else np.zeros(0, np.uint8)
+        raw = np.frombuffer(data, ">u2" if item == 2 else np.uint8, count, at) if n - at >= count * item else np.zeros(0, np.uint8)
     if len(raw) < count:
         raise BadImage("truncated")
     raw = raw[:count].reshape(h, w, depth)
     if kind in (1, 4):
         return ((1 - raw) * 255).astype(np.uint8)
-    if most == 255:
-        return raw.astype(np.uint8)
-    return ((np.minimum(raw, most).astype(np.uint32) * 255 + most // 2) // most).astype(np.uint8)
+    raw = np.minimum(raw, most)
+    return raw.astype(np.uint8) if most == 255 else ((raw.astype(np.uint32) * 255 + most // 2) // most).astype(np.uint8)
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -159,32 +159,43 @@ def _edges(size: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     return whole, x - whole
 
 
-def integral(image: np.ndarray) -> np.ndarray:
-    """Sums of all samples above and left of each corner."""
-    out = np.zeros((image.shape[0] + 1, image.shape[1] + 1, image.shape[2]))
-    np.cumsum(np.cumsum(image, 0, dtype=np.float64), 1, out=out[1:, 1:])
-    return out
+class Integral:
+    """The rows of an image's integral image that resizing to each of ``heights`` reads: sums of all samples above and left of each corner."""
+
+    def __init__(self, image: np.ndarray, heights: tuple[int, ...]):
+        self.shape = h, w, c = image.shape
+        wanted = {int(y) for to in heights for i in _edges(h, to)[0] for y in (i, i + 1)}
+        self.rows = np.array(sorted({0, *wanted}))
+        self.sums = np.zeros((len(self.rows), w + 1, c))
+        above = np.zeros((w, c))
+        for n in range(1, len(self.rows)):
+            for y in range(self.rows[n - 1], self.rows[n], 4096):  # bands, so that no more than one is widened at a time
+                above += image[y : min(y + 4096, self.rows[n])].sum(0, dtype=np.uint64)
+            np.cumsum(above, 0, out=self.sums[n, 1:])
 
+    def averages(self, height: int, width: int) -> np.ndarray:
+        """Area averages, samples counting in proportion where cells divide them."""
+        h, w, _ = self.shape
+        i, f = _edges(h, height)
+        upper, lower = self.sums[np.searchsorted(self.rows, i)], self.sums[np.searchsorted(self.rows, i + 1)]
+        rows = upper + f[:, None, None] * (lower - upper)
+        j, g = _edges(w, width)
+        corner = rows[:, j] + g[None, :, None] * (rows[:, j + 1] - rows[:, j])
+        cells = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
+        return cells * (height * width / (h * w))
 
-def _averages(sums: np.ndarray, height: int, width: int) -> np.ndarray:
-    h, w = sums.shape[0] - 1, sums.shape[1] - 1
-    i, f = _edges(h, height)
-    rows = sums[i] + f[:, None, None] * (sums[i + 1] - sums[i])
-    j, g = _edges(w, width)
-    corner = rows[:, j] + g[None, :, None] * (rows[:, j + 1] - rows[:, j])
-    cells = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
-    return cells * (height * width / (h * w))
+    def resized(self, height: int, width: int) -> np.ndarray:
+        return np.clip(np.rint(self.averages(height, width)), 0, 255).astype(np.uint8)
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area averages, samples counting in proportion where cells divide them."""
-    return np.clip(np.rint(_averages(integral(image), height, width)), 0, 255).astype(np.uint8)
+    return Integral(image, (height,)).resized(height, width)
 
 
-def difference_hash(sums: np.ndarray) -> int:
-    """64 signed bits: whether each of 8 × 9 grey averages exceeds its left neighbour."""
-    small = _averages(sums[:, :, :3] if sums.shape[2] > 2 else sums[:, :, :1], 8, 9)
-    grey = np.round(small @ np.array([0.299, 0.587, 0.114]) if small.shape[2] == 3 else small[:, :, 0], 6)
+def difference_hash(sums: Integral) -> int:
+    """64 signed bits: whether each of 8 × 9 grey averages exceeds its left neighbour; ``sums`` has the rows for height 8."""
+    small = sums.averages(8, 9)
+    grey = np.round(small[:, :, :3] @ np.array([0.299, 0.587, 0.114]) if small.shape[2] > 2 else small[:, :, 0], 6)
     return int.from_bytes(np.packbits(grey[:, 1:] > grey[:, :-1]).tobytes(), "big", signed=True)
 
 
@@ -209,9 +220,9 @@ def image_tiles(data: bytes | None, side: int = SIDE, tile: int = TILE) -> list[
         image, kind = decode(data)
     except BadImage as bad:
         return [(None, None, None, None, None, None, None, None, str(bad))]
-    sums = integral(image)
+    sums = Integral(image, (side, 8))
     mark = difference_hash(sums)
-    small = np.clip(np.rint(_averages(sums, side, side)), 0, 255).astype(np.uint8)
+    small = sums.resized(side, side)
     own = (kind, *image.shape, mark)
     return [(*own, y // tile, x // tile, npy(small[y : y + tile, x : x + tile]), None) for y in range(0, side, tile) for x in range(0, side, tile)]
 
@@ -231,30 +242,43 @@ def tiles(media: DataFrame, side: int = SIDE, tile: int = TILE) -> DataFrame:
 
 
 def write_bmp(image: np.ndarray) -> bytes:
-    """A 24-bit BMP (8-bit with a grey palette for one channel)."""
+    """A 32-, 24- or 8-bit BMP for four, three or one channels, the last with a grey palette."""
     h, w, c = image.shape
-    bits = 24 if c == 3 else 8
-    palette = b"" if c == 3 else b"".join(bytes([i, i, i, 0]) for i in range(256))
-    rows = image[::-1, :, ::-1] if c == 3 else image[::-1]
+    palette = b"".join(bytes([i, i, i, 0]) for i in range(256)) if c == 1 else b""
+    rows = image[::-1] if c == 1 else image[::-1, :, [2, 1, 0, 3][:c]]
     rows = rows.reshape(h, -1)
     rows = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 4)))
     at = 54 + len(palette)
-    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", at + rows.size, 0, 0, at, 40, w, h, 1, bits, 0, rows.size, 2835, 2835, 0, 0) + palette + rows.tobytes()
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", at + rows.size, 0, 0, at, 40, w, h, 1, 8 * c, 0, rows.size, 2835, 2835, 0, 0) + palette + rows.tobytes()
+
+
+def write_netpbm(image: np.ndarray, kind: int) -> bytes:
+    """P1 to P7; the bilevel kinds blacken samples below 128."""
+    h, w, c = image.shape
+    black = image[:, :, 0] < 128
+    body = {
+        1: lambda: b"\n".join(b" ".join(b"1" if v else b"0" for v in row) for row in black), 4: lambda: np.packbits(black, axis=1).tobytes(),
+        2: lambda: b"\n".join(b" ".join(b"%d" % v for v in row) for row in image.reshape(h, -1)),
+    }
+    body[3] = body[2]
+    head = b"P7\nWIDTH %d\nHEIGHT %d\nDEPTH %d\nMAXVAL 255\nENDHDR\n" % (w, h, c) if kind == 7 else b"P%d\n%d %d\n" % (kind, w, h) + (b"" if kind in (1, 4) else b"255\n")
+    return head + body.get(kind, image.tobytes)()
+
+
+#: (Netpbm kind or 0 for BMP, channels) of the drawn images, by number.
+DRAWN = ((5, 1), (6, 3), (0, 3), (0, 1), (2, 1), (7, 4), (4, 1), (0, 4), (3, 3), (7, 2), (1, 1))
 
 
 def drawn(number: int, data: bytes) -> bytes:
-    """An image of the bytes, 64 or 96 samples a row, in one of four formats by number."""
-    kind = number % 4
-    depth = 3 if kind in (1, 2) else 1
-    width = 32 if depth == 3 else 64
+    """An image of the bytes, 64 or 96 samples a row, in one of the formats by number."""
+    kind, depth = DRAWN[number % len(DRAWN)]
+    width = 32 if depth == 3 else 64 // depth
     pixels = np.frombuffer(data, np.uint8)
     rows = max(1, -(-len(pixels) // (width * depth)))
     image = np.zeros(rows * width * depth, np.uint8)
     image[: len(pixels)] = pixels
     image = image.reshape(rows, width, depth)
-    if kind > 1:
-        return write_bmp(image)
-    return b"P%d\n%d %d\n255\n" % (5 if depth == 1 else 6, width, rows) + image.tobytes()
+    return write_netpbm(image, kind) if kind else write_bmp(image)
 
 
 def media_of(docs: DataFrame) -> DataFrame:
