@@ -1,25 +1,28 @@
 """Shards of nearly equal size along a key order, by sampled splitters.
 
 Records are ordered by source, then id. Sample points are drawn in proportion to
-size (a record gets the whole part of its size over the sampling interval, and
-one more with the fraction's probability, by a hash). Boundaries are the sample's
+size (a key gets the whole part of its size over the sampling interval, and one
+more with the fraction's probability, by a hash). Boundaries are the sample's
 quantiles. Ranges that still hold more than LIMIT times the target are divided at
 the keys where the exact running size passes multiples of it. Every record then
 goes to the shard of its range, one partition (and file) a shard, sorted.
 
-A record's size is the bytes of its text and RECORD_BYTES.
+A record's size is the bytes of its text and RECORD_BYTES. Records with one key
+that together exceed a quarter of the target are parted, by a hash of position
+and text, into keys of at most about that size each.
 
 Defined cases: null texts have size RECORD_BYTES; null sources and ids come
-first. Rows with an equal source and id stay together, except that rows without
-an id are ordered by their text's MD5 too. A record above the target has a shard
+first. Rows without an id are ordered by their text's MD5 too. Rows with an equal
+key stay together unless the key is parted. A record above the target has a shard
 that may exceed it. An empty table gives no rows. Columns pass unchanged in the
 struct ``row`` beside the shard.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,29 +35,70 @@ RECORD_BYTES = 64
 SAMPLES_PER_SHARD = 64
 LIMIT = 1.25
 SEED = "shard-1"
+#: Parts of a crowded key hold about the target over this.
+PARTS = 4
 _KEY = ("k1", "k2", "k3")
+_ALL = (*_KEY, "k4")
 
 
 def _keys(source: Column, doc_id: Column, text: Column) -> list[Column]:
     return [source.cast("string").alias("k1"), doc_id.cast("long").alias("k2"), F.when(doc_id.isNull(), F.md5(text.cast("binary"))).alias("k3")]
 
 
-def _order() -> list[Column]:
-    return [F.col(k).asc_nulls_first() for k in _KEY]
+def _order(names=_ALL) -> list[Column]:
+    return [F.col(k).asc_nulls_first() for k in names]
 
 
-def _place(k1, k2, k3) -> tuple:
-    return (k1 is not None, k1 or "", k2 is not None, k2 or 0, k3 is not None, k3 or "")
+def _tail(k2: np.ndarray, has2: np.ndarray, k3: list, k4: np.ndarray) -> np.ndarray:
+    """Id, MD5 and part as byte strings whose order is the keys'."""
+    out = np.zeros((len(k2), 5), ">u8")
+    out[:, 0] = has2
+    out[:, 1] = np.where(has2, k2, 0).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    for i in np.flatnonzero(~has2):
+        if k3[i] is not None:
+            out[i, 2], out[i, 3] = int(k3[i][:16], 16), int(k3[i][16:], 16)
+    out[:, 4] = k4
+    return out.view("S40").reshape(-1)
 
 
-def _ranges(points: list[tuple]):
-    """Number of boundaries below each key."""
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(column.fill_null(0)), np.asarray(column.is_valid())
 
-    @F.arrow_udf("int")
-    def ranges(k1: pa.Array, k2: pa.Array, k3: pa.Array) -> pa.Array:
-        return pa.array([bisect_left(points, _place(*k)) for k in zip(k1.to_pylist(), k2.to_pylist(), k3.to_pylist())], pa.int32())
 
-    return ranges(*_KEY)
+class Splitters:
+    """Sorted boundary keys; a record belongs after those that are below its own."""
+
+    def __init__(self, points: list[tuple]):
+        points = sorted(set(points), key=lambda p: (p[0] is not None, p[0] or ""))
+        tails = _tail(np.array([p[1] or 0 for p in points], np.int64), np.array([p[1] is not None for p in points], bool), [p[2] for p in points], np.array([p[3] for p in points], np.int64))
+        places = [(p[0] is not None, p[0] or "") for p in points]
+        order = sorted(range(len(points)), key=lambda i: (places[i], tails[i].ljust(40, b"\0")))
+        self.sources, self.tails = [places[i] for i in order], tails[order] if len(order) else tails
+
+    def __len__(self) -> int:
+        return len(self.sources)
+
+    def below(self, k1: pa.Array, k2: pa.Array, k3: pa.Array, k4: pa.Array) -> np.ndarray:
+        """Number of boundaries below each key."""
+        coded = k1.dictionary_encode(null_encoding="encode")
+        which, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        tails = _tail(*_ids(k2), k3.to_pylist() if k2.null_count else [], np.asarray(k4))
+        out = np.zeros(len(which), np.int32)
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(names) + 1))
+        for n, name in enumerate(names):
+            own = order[bounds[n] : bounds[n + 1]]
+            place = (name is not None, name or "")
+            lo, hi = bisect_left(self.sources, place), bisect_right(self.sources, place)
+            out[own] = lo + np.searchsorted(self.tails[lo:hi], tails[own], "left") if hi > lo else lo
+        return out
+
+    def column(self) -> Column:
+        @F.arrow_udf("int")
+        def ranges(k1: pa.Array, k2: pa.Array, k3: pa.Array, k4: pa.Array) -> pa.Array:
+            return pa.array(self.below(k1, k2, k3, k4), pa.int32())
+
+        return ranges(*_ALL)
 
 
 def _running(drawn: DataFrame) -> DataFrame:
@@ -69,36 +113,48 @@ def _running(drawn: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(starts), "part").withColumn("upto", F.col("before") + within)
 
 
-def boundaries(docs: DataFrame, target: int = TARGET_BYTES) -> list[tuple]:
-    """Sorted keys; a record belongs after those that are below its own. One is kept a shard, on the driver."""
+def plan(docs: DataFrame, target: int = TARGET_BYTES) -> tuple[Splitters, DataFrame]:
+    """The boundaries, one a shard, kept on the driver; and (k1, k2, k3, parts) of crowded keys, fewer than PARTS a shard."""
     size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + RECORD_BYTES).cast("long")
-    keys = cut(docs.select(*_keys(F.col("source"), F.col("doc_id"), F.col("text").cast("string")), size.alias("size")))
+    rows = docs.select(*_keys(F.col("source"), F.col("doc_id"), F.col("text").cast("string")), size.alias("size"))
+    keys = rows.groupBy(*_KEY).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    parts = F.when((F.col("n") > 1) & (F.col("size") * PARTS > target), F.least("n", F.ceil(F.col("size") * PARTS / F.lit(float(target))))).otherwise(1).cast("int")
+    keys = cut(keys.withColumn("parts", parts))
+    crowded = keys.filter("parts > 1").select(*_KEY, "parts")
+    keys = keys.select(*_KEY, "size", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k4")).withColumn("size", F.expr("size * (k4 + 1) DIV parts - size * k4 DIV parts"))
     total = keys.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // target))
     interval = total / (shards * SAMPLES_PER_SHARD)
-    drawn = keys.withColumn("times", F.floor(F.col("size") / F.lit(interval or 1.0) + uniform(SEED, F.col("k1"), F.col("k2"), F.col("k3"))).cast("long")).filter("times > 0")
-    drawn = drawn.groupBy(*_KEY).agg(F.sum("times").alias("times"))
+    u = F.when(F.col("parts") > 1, uniform(SEED, *map(F.col, _ALL))).otherwise(uniform(SEED, *map(F.col, _KEY)))
+    drawn = keys.withColumn("times", F.floor(F.col("size") / F.lit(interval or 1.0) + u).cast("long")).filter("times > 0").select(*_ALL, "times")
     whole = drawn.agg(F.sum("times")).first()[0] or 1
     at = _running(drawn)
     chosen = at.filter(F.expr(f"upto * {shards} DIV {whole} > (upto - times) * {shards} DIV {whole} AND upto < {whole}"))
-    points = sorted({_place(*r) for r in chosen.select(*_KEY).collect()})
-    within = keys.withColumn("range", _ranges(points))
+    points = [tuple(r) for r in chosen.select(*_ALL).collect()]
+    within = keys.withColumn("range", Splitters(points).column())
     overfull = within.groupBy("range").agg(F.sum("size").alias("all")).filter(F.col("all") > LIMIT * target)
-    inside = within.join(overfull, "range").groupBy("range", *_KEY).agg(F.sum("size").alias("size"))
+    inside = within.join(overfull, "range").select("range", *_ALL, "size")
     w = Window.partitionBy("range").orderBy(*_order())
     run = inside.withColumn("after", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("piece", F.expr(f"(after - size) DIV {target}")).withColumn("next", F.lead("piece").over(w))
-    extra = {_place(*r) for r in run.filter("next > piece").select(*_KEY).collect()}
-    return sorted({*points, *extra})
+    return Splitters([*points, *(tuple(r) for r in run.filter("next > piece").select(*_ALL).collect())]), crowded
 
 
 def shard(docs: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(shard, row), each shard one sorted partition."""
-    points = boundaries(docs, target)
+    splitters, crowded = plan(docs, target)
     rows = row_of(docs)
     rows = rows.select("row", *_keys(F.col("row.source"), F.col("row.doc_id"), F.col("row.text").cast("string")))
-    rows = rows.withColumn("shard", _ranges(points))
-    return rows.repartitionById(len(points) + 1, "shard").sortWithinPartitions("shard", *_order()).select("shard", "row")
+    if crowded.isEmpty():
+        rows = rows.withColumn("k4", F.lit(0))
+    else:
+        known = crowded.select(*(F.col(k).alias(f"of_{k}") for k in _KEY), "parts")
+        there = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in _KEY]
+        rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(known), there, "left")
+        part = F.floor(uniform(SEED, F.col("place"), F.xxhash64("row.text")) * F.coalesce("parts", F.lit(1))).cast("int")
+        rows = cut(rows.select("row", *_KEY, part.alias("k4")))  # written, as a task that runs again may number its rows otherwise
+    rows = rows.withColumn("shard", splitters.column())
+    return rows.repartitionById(len(splitters) + 1, "shard").sortWithinPartitions("shard", *_order()).select("shard", "row")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
