@@ -9,8 +9,12 @@ for the bytes [offsets[i], offsets[i + 1]) of the UTF-8 text. A character spelt
 by byte pieces belongs to the last of them; the others' spans are empty.
 
 Segmentation is the library's, with a copy of the model that doesn't normalise.
-As no piece has a blank after another character (else whole texts are
-segmented), words are segmented once and remembered.
+Texts are cut before runs of characters that the map turns into one blank. As no
+key of the map holds such a character beside others and no piece has a blank
+after another character (else whole texts are normalised and segmented), such
+chunks are normalised, aligned and segmented once and remembered.
+
+The model is read on the driver and sent to the workers.
 
 Defined cases: a null text gives nulls; an empty one gives no pieces and offsets
 [0]. Long texts are encoded whole. Repeated rows are encoded alike. An empty
@@ -21,10 +25,12 @@ character itself, or that the character map changes, decode to their normal form
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,6 @@ MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mod
 #: Words remembered by a worker.
 REMEMBERED = 400_000
 _BLANK = "▁"
-_CHUNK = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -109,6 +114,20 @@ class CharsMap:
         n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return data[at : at + n], n
 
+    def keys(self) -> list[bytes]:
+        """All keys, by walking the double array."""
+        out, todo = [], [(self._child_base(0), b"")] if self.units else []
+        while todo:
+            base, key = todo.pop()
+            for c in range(256):
+                node = base ^ c
+                if c and node < len(self.units) and self.units[node] & 0x800000FF == c:
+                    unit, longer = self.units[node], key + bytes([c])
+                    if unit >> 8 & 1:
+                        out.append(longer)
+                    todo.append((node ^ ((unit >> 10) << ((unit & 512) >> 6)), longer))
+        return out
+
     def _child_base(self, node: int) -> int:
         unit = self.units[node]
         return node ^ ((unit >> 10) << ((unit & 512) >> 6))
@@ -147,7 +166,34 @@ class Codec:
         if self.unknown >= 0:
             self.surface[self.unknown] = " ⁇ ".encode()
         self.lengths = [len(p) for p in self.pieces]
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.memory: dict[str, tuple[bytes, bytes, int]] = {}
+        keys = {k: self.map.prefix(k, 0)[0] for k in self.map.keys()}
+        first = {k.decode("utf-8", "replace")[:1] for k in keys} - {" "}
+        self.touched = re.compile(f"[{re.escape(''.join(sorted(first)))}]" if first else r"(?!)")
+        alone = {k.decode("utf-8", "replace") for k, v in keys.items() if v == b" "} | {" "}
+        self.blanks = {c for c in alone if len(c) == 1 and (c != " " or keys.get(b" ", b" ") == b" ")}
+        held = re.compile(f"[{re.escape(''.join(sorted(self.blanks)))}]") if self.blanks else None
+        self.whole = self.whole or held is None or any(len(k) > 1 and len(t := k.decode("utf-8", "replace")) > 1 and held.search(t) for k in keys)
+        if not self.whole:
+            own = re.escape("".join(sorted(self.blanks)))
+            self.chunk, self.lead = re.compile(f"[{own}]*[^{own}]+|[{own}]+"), re.compile(f"[{own}]+")
+
+    def expand(self, text: str, squeeze: bool) -> tuple[bytearray, list[int], int]:
+        """The mapped bytes with blanks escaped, the original byte of each, and the original size; nothing is put in front or cut off."""
+        data, out, origin = text.encode("utf-8", "replace"), bytearray(), []
+        blank, at, after = _BLANK.encode() if self.escape else b" ", 0, False
+        while at < len(data):
+            sp, n = self.map.prefix(data, at)
+            while after and sp[:1] == b" ":
+                sp = sp[1:]
+            if sp:
+                for c in sp:
+                    put = blank if c == 32 else bytes([c])
+                    out += put
+                    origin += [at] * len(put)
+                after = squeeze and sp[-1:] == b" "
+            at += n
+        return out, origin, at
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """The normalised bytes, and for each of them, and the end, the original byte."""
@@ -203,51 +249,70 @@ class Codec:
         return sizes
 
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self.inner.encode(chunks, out_type=int, num_threads=1)):
-            sizes = self._sizes(ids, chunk)
-            blanks = len(chunk) - len(chunk.lstrip(_BLANK))
-            k = 0
-            while blanks:  # an escaped blank has three bytes for the original's one
-                own = min(blanks, sizes[k] // 3)
-                sizes[k] -= 2 * own
-                blanks -= own
-                k += 1
-            self.memory[chunk] = (array("i", ids).tobytes(), array("i", sizes).tobytes())
+        """Remember each chunk's ids, the original bytes that its pieces begin at, and its size; one that its neighbours may change at its edges has size -1."""
+        blank = _BLANK.encode()
+        plain = [self._plain(c) for c in chunks]
+        mapped = [None if n else self.expand(c, self.squeeze) for n, c in zip(plain, chunks)]
+        norms = [n or m[0].decode("utf-8", "replace") for n, m in zip(plain, mapped)]
+        for chunk, norm, easy, there, ids in zip(chunks, norms, plain, mapped, self.inner.encode(norms, out_type=int, num_threads=1)):
+            starts = list(accumulate(self._sizes(ids, norm)[:-1], initial=0)) if ids else []
+            if easy:  # the one escaped blank in front has three bytes for the original's one
+                self.memory[chunk] = (array("i", ids).tobytes(), array("i", [k and k - 2 for k in starts]).tobytes(), len(chunk.encode()))
+                continue
+            out, origin, end = there
+            odd = not out or out.endswith(blank) and (self.squeeze or not self.lead.fullmatch(chunk)) or self.squeeze and not self.lead.match(chunk) and out.startswith(blank)
+            self.memory[chunk] = (array("i", ids).tobytes(), array("i", [origin[k] for k in starts]).tobytes(), -1 if odd else end)
+
+    def _plain(self, chunk: str) -> str | None:
+        """The normalised form of a blank and a word that hold nothing else to map."""
+        if chunk[0] == " " and len(chunk) > 1 and self.escape and not self.touched.search(chunk) and chunk.rfind(" ") == 0 and _BLANK not in chunk:
+            return _BLANK + chunk[1:]
+        return None
+
+    def _chunks(self, text: str) -> tuple[list[str], int]:
+        """The text's chunks, the dummy prefix put in front, and how many bytes come before them."""
+        front = 0
+        if self.squeeze:
+            m = self.lead.match(text)
+            if m:
+                front, text = len(m[0].encode()), text[m.end() :]
+            text = text.rstrip("".join(self.blanks))
+        return self.chunk.findall(" " + text if self.dummy and text else text), front
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(ids, offsets) of each text."""
         out: list = [None] * len(texts)
-        fast = not self.map.units and self.dummy and not self.squeeze and not self.whole
-        parts: dict[int, list[str]] = {}
+        parts: dict[int, tuple[list[str], int]] = {}
         for i, t in enumerate(texts):
             if t is None:
                 continue
             if not t:
                 out[i] = (np.zeros(0, np.int32), np.zeros(1, np.int32))
-            elif fast and _BLANK not in t:
-                try:
-                    t.encode()
-                except UnicodeEncodeError:
-                    out[i] = self.slow(t)
-                    continue
-                parts[i] = _CHUNK.findall(_BLANK + t.replace(" ", _BLANK))
-            else:
+            elif self.whole:
                 out[i] = self.slow(t)
-        missing = list({c for chunks in parts.values() for c in chunks}.difference(self.memory))
+            else:
+                parts[i] = self._chunks(t)
+        missing = list({c for p in parts.values() for c in p[0]}.difference(self.memory))
         held: dict = {}
         if missing:
             if len(self.memory) + len(missing) > REMEMBERED:
                 held, self.memory = self.memory, {}
             self._learn(missing)
         known = self.memory
-        for i, chunks in parts.items():
+        for i, (chunks, front) in parts.items():
             got = [known.get(c) or held[c] for c in chunks] if held else [known[c] for c in chunks]
+            ends = np.array([g[2] for g in got], np.int64)
+            if not chunks or ends.min() < 0:
+                out[i] = self.slow(texts[i])
+                continue
             ids = np.frombuffer(b"".join([g[0] for g in got]), np.int32)
-            sizes = np.frombuffer(b"".join([g[1] for g in got]), np.int32)
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum(sizes, out=offsets[1:])
-            offsets[1:] -= 1  # the dummy prefix isn't there
-            out[i] = (ids, offsets)
+            begins = np.cumsum(ends) - ends
+            offsets = np.empty(len(ids) + 1, np.int32)
+            offsets[:-1] = np.frombuffer(b"".join([g[1] for g in got]), np.int32) + np.repeat(begins, [len(g[0]) // 4 for g in got])
+            offsets[-1] = ends.sum()
+            if self.dummy:  # which isn't there
+                offsets = np.maximum(offsets - 1, 0)
+            out[i] = (ids, offsets + np.int32(front))
         return out
 
     def slow(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -266,13 +331,16 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
-def codec(path: str = MODEL) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(model: str | bytes = MODEL) -> Codec:
+    """The codec of a path or a serialised model, made once in each process."""
+    proto = model if isinstance(model, bytes) else open(model, "rb").read()
+    mark = hashlib.sha256(proto).digest()
+    if mark not in _codecs:
+        _codecs[mark] = Codec(proto)
+    return _codecs[mark]
 
 
 def _lists(parts: list, kind: pa.DataType) -> pa.Array:
@@ -284,11 +352,16 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), values, mask=none)
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def _sent(spark: SparkSession, model: str | bytes):
+    return spark.sparkContext.broadcast(model if isinstance(model, bytes) else open(model, "rb").read())
+
+
+def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """(doc_id, ids, offsets, n_pieces, round_trip) of each row."""
+    sent = _sent(docs.sparkSession, model)
 
     def run(batches):
-        own = codec(model)
+        own = codec(sent.value)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = part.column("text").to_pylist()
@@ -300,11 +373,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>, n_pieces int, round_trip boolean")
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """(doc_id, text) of rows with ids; null ids give a null text."""
+    sent = _sent(encoded.sparkSession, model)
 
     def run(batches):
-        own = codec(model)
+        own = codec(sent.value)
         for batch in batches:
             texts = [None if i is None else own.decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
