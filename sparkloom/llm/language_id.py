@@ -9,9 +9,17 @@ kernel ridge regression for each language against the rest gives the scores,
 which for a batch are the product of its presence matrix with the landmarks'
 matrix times the coefficients.
 
-A document is rejected when fewer than MIN_KNOWN of its distinct longest n-grams
-occur in the landmarks, which is so for other scripts and languages and for texts
-without letters. Short texts and texts full of symbols are kept.
+A document is rejected when its best score leads the second by less than a least
+margin, as texts of languages that no class stands for lie near none of them; the
+margin asked for is less for texts of few n-grams (m / (m + FEW) of the whole).
+It is calibrated on the training rows: each language in turn is left out and its
+rows scored by the others, and halves of the rows are scored by the other half.
+The least margin is passed by one in twenty of the foreign rows, but missed by
+no more than one in two hundred of the own ones. Below three languages none can be
+left out, and every margin is accepted. Texts that mix languages in equal parts
+may be rejected, since no score leads. Texts are rejected, too, when fewer than
+MIN_KNOWN of their distinct longest n-grams occur in the landmarks, as in other
+scripts and in texts without letters.
 
 Training reads at most PER_LANGUAGE labelled documents of each language, those of
 least hash. Languages with no such document are unknown.
@@ -38,6 +46,8 @@ PER_LANGUAGE = 300
 LANDMARKS = 64
 RIDGE = 1e-2
 MIN_KNOWN = 0.5
+#: Longest n-grams of a text at which half the least margin is asked for.
+FEW = 60
 BATCH = 64
 
 _A = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -94,23 +104,67 @@ def fit(texts: list[str], labels: list[str]) -> dict:
     unit = lambda which: _normal(presence([texts[i] for i in which])[0])
     land = unit(np.concatenate(chosen)) if chosen else np.zeros((0, WIDTH), np.float32)
     rows = np.flatnonzero(lettered)
-    k_nm = np.concatenate([unit(rows[i : i + BATCH]) @ land.T for i in range(0, len(rows), BATCH)] or [np.zeros((0, len(land)))]).astype(np.float64)
+    kernel, grams = [np.zeros((0, len(land)))], [np.zeros(0)]
+    for i in range(0, len(rows), BATCH):
+        x = presence([texts[k] for k in rows[i : i + BATCH]])[0]
+        grams.append(x[:, -(1 << ORDERS[-1][1]) :].sum(1))
+        kernel.append(_normal(x) @ land.T)
+    k_nm, m = np.concatenate(kernel).astype(np.float64), np.concatenate(grams).astype(np.float64)
     k_mm = (land @ land.T).astype(np.float64)
-    target = np.where(y[rows][:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
-    alpha = np.linalg.solve(k_nm.T @ k_nm + RIDGE * k_mm + 1e-6 * np.eye(len(land)), k_nm.T @ target) if len(land) else np.zeros((0, len(languages)))
+    alpha = _ridge(k_nm, k_mm, y[rows], languages)
+    spot = {r: i for i, r in enumerate(rows)}
+    least = _least_margin(k_nm, k_mm, m, y[rows], np.array([spot[i] for c in chosen for i in c], int), languages)
     weights = (land.T @ alpha.astype(np.float32)) * _SCALE[:, None]
     n_last = 1 << ORDERS[-1][1]
     known = (land[:, -n_last:] > 0).any(0).astype(np.float32) if len(land) else np.zeros(n_last, np.float32)
-    return {"languages": languages, "weights": weights, "known": known}
+    return {"languages": languages, "weights": weights, "known": known, "least": least}
 
 
-def score(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores by language, share of known longest n-grams, whether there are letters)."""
+def _ridge(k_nm: np.ndarray, k_mm: np.ndarray, y: np.ndarray, languages: list[str]) -> np.ndarray:
+    """Coefficients of the landmarks for each language against the rest."""
+    if not len(k_mm):
+        return np.zeros((0, len(languages)))
+    target = np.where(y[:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
+    return np.linalg.solve(k_nm.T @ k_nm + RIDGE * k_mm + 1e-6 * np.eye(len(k_mm)), k_nm.T @ target)
+
+
+def margins(scores: np.ndarray) -> np.ndarray:
+    """Lead of the best score over the second."""
+    ordered = np.sort(scores, 1)
+    return ordered[:, -1] - ordered[:, -2]
+
+
+def _least_margin(k_nm: np.ndarray, k_mm: np.ndarray, m: np.ndarray, y: np.ndarray, land: np.ndarray, languages: list[str]) -> float:
+    """The least margin of texts of many n-grams; ``land`` has the landmarks' rows."""
+    if len(languages) < 3:
+        return 0.0
+
+    def asked(train: np.ndarray, test: np.ndarray, known: list[str]) -> np.ndarray:
+        cols = np.flatnonzero(train[land])
+        a, b = np.flatnonzero(train), np.flatnonzero(test)
+        alpha = _ridge(k_nm[np.ix_(a, cols)], k_mm[np.ix_(cols, cols)], y[a], known)
+        return margins(k_nm[np.ix_(b, cols)] @ alpha) * (m[b] + FEW) / np.maximum(m[b], 1)
+
+    half = np.arange(len(y)) % 2 == 0
+    own = np.concatenate([asked(half, ~half, languages), asked(~half, half, languages)])
+    foreign = np.concatenate([asked(y != out, y == out, [v for v in languages if v != out]) for out in languages])
+    return float(max(0.0, min(np.quantile(foreign, 0.95), np.quantile(own, 0.005))))
+
+
+def score(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores by language, share of known longest n-grams, their number, whether there are letters)."""
     x, ok = presence(texts)
     own = np.sqrt(np.maximum(x @ (_SCALE * _SCALE), 1e-9))
     last = x[:, -len(model["known"]) :]
-    share = (last @ model["known"]) / np.maximum(last.sum(1), 1)
-    return (x @ model["weights"]) / own[:, None], share, ok
+    many = last.sum(1)
+    return (x @ model["weights"]) / own[:, None], (last @ model["known"]) / np.maximum(many, 1), many, ok
+
+
+def accepts(model: dict, scores: np.ndarray, known: np.ndarray, many: np.ndarray, min_known: float = MIN_KNOWN) -> np.ndarray:
+    """Whether each scored text is of one of the model's languages."""
+    if len(model["languages"]) < 3:
+        return known >= min_known
+    return (known >= min_known) & (margins(scores) * (many + FEW) >= model["least"] * many)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
@@ -141,27 +195,18 @@ def scorer(model: dict, min_known: float = MIN_KNOWN):
     @F.arrow_udf(_TYPE)
     def identify(texts: pa.Array) -> pa.Array:
         values = texts.to_pylist()
-        pred: list = []
-        top: list = []
-        gap: list = []
-        shares: list = []
+        cols: list[list] = [[], [], [], [], []]
         for a in range(0, len(values), BATCH):
-            f, share, ok = score(model, values[a : a + BATCH])
+            f, share, many, ok = score(model, values[a : a + BATCH])
+            ok = ok & bool(languages)
+            told = accepts(model, f, share, many, min_known) if languages else ok
+            gap = margins(f) if len(languages) > 1 else [None] * len(ok)
             for i in range(len(ok)):
-                if ok[i] and languages:
-                    s = np.sort(f[i])
-                    pred.append(languages[int(np.argmax(f[i]))])
-                    top.append(float(s[-1]))
-                    gap.append(float(s[-1] - s[-2]) if len(s) > 1 else None)
-                    shares.append(float(share[i]))
-                else:
-                    pred.append(None)
-                    top.append(None)
-                    gap.append(None)
-                    shares.append(0.0)
-        known = np.array(shares, np.float64)
-        arrays = [pa.array(pred, pa.string()), pa.array(top, pa.float64()), pa.array(gap, pa.float64()), pa.array(known), pa.array(known >= min_known)]
-        return pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "margin", "known", "accepted"])
+                one = (languages[int(np.argmax(f[i]))], float(f[i].max()), gap[i] and float(gap[i]), float(share[i]), bool(told[i])) if ok[i] else (None, None, None, 0.0, False)
+                for col, v in zip(cols, one):
+                    col.append(v)
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["lang_pred", "score", "margin", "known", "accepted"])
 
     return identify
 

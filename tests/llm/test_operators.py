@@ -57,13 +57,46 @@ def test_language_on_held_out_rows(docs):
     rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r["text"] and r["lang"]]
     train, held = [r for r in rows if r["doc_id"] % 2], [r for r in rows if r["doc_id"] % 2 == 0]
     model = language_id.fit([r["text"] for r in train], [r["lang"] for r in train])
-    scores, known, ok = language_id.score(model, [r["text"] for r in held])
+    scores, known, many, ok = language_id.score(model, [r["text"] for r in held])
     right = [model["languages"][k] == r["lang"] for k, r, o in zip(scores.argmax(1), held, ok) if o]
-    assert np.mean(right) > 0.97 and (known[ok] >= language_id.MIN_KNOWN).mean() > 0.99
-    _, strange, _ = language_id.score(model, ["Мама мыла раму и читала книгу о погоде", "これは日本語の文章です" * 3])
+    assert np.mean(right) > 0.97 and language_id.accepts(model, scores, known, many)[ok].mean() > 0.98
+    _, strange, _, _ = language_id.score(model, ["Мама мыла раму и читала книгу о погоде", "これは日本語の文章です" * 3])
     assert (strange < language_id.MIN_KNOWN).all()
 
 
+FOREIGN = (
+    "Oggi piove molto e la gente resta in casa a leggere il giornale, mentre i bambini giocano con il cane nel cortile della scuola.",
+    "Tänään sataa paljon ja ihmiset pysyvät kotona lukemassa sanomalehteä, kun lapset leikkivät koiran kanssa koulun pihalla.",
+    "Hoje chove muito e as pessoas ficam em casa lendo o jornal, enquanto as crianças brincam com o cachorro no pátio da escola.",
+    "Vandaag regent het veel en de mensen blijven thuis om de krant te lezen, terwijl de kinderen met de hond op het schoolplein spelen.",
+    "Idag regnar det mycket och folk stannar hemma och läser tidningen, medan barnen leker med hunden på skolgården.",
+    "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae appellantur.",
+    "Hari ini hujan deras dan orang-orang tinggal di rumah membaca koran, sementara anak-anak bermain dengan anjing di halaman sekolah.",
+)
+
+
+def test_other_languages_of_the_same_script_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    rng = np.random.default_rng(6)
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(60)) for _ in range(20)]
+    scores, known, many, _ = language_id.score(model, [*FOREIGN, *letters])
+    assert not language_id.accepts(model, scores, known, many).any()
+    asked = language_id.identify_language(docs, model)
+    assert asked.filter("lang_pred is not null and not accepted").count() < 0.02 * docs.count()
+    strange = spark.createDataFrame([(1, FOREIGN[0], "xx")], "doc_id long, text string, lang string")
+    assert language_id.keep_identified(strange, model).count() == 0
+
+
+def test_left_out_languages_are_rejected(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect() if r["text"] and r["lang"]]
+    for out in ("de", "en", "es", "fr"):
+        known = [r for r in rows if r["lang"] != out]
+        model = language_id.fit([r["text"] for r in known], [r["lang"] for r in known])
+        scores, share, many, _ = language_id.score(model, [r["text"] for r in rows if r["lang"] == out and len(r["text"]) > 400])
+        assert language_id.accepts(model, scores, share, many).mean() < 0.1
+
+
 def test_kernel_scores_are_those_of_the_kernel():
     texts, labels = ["the river and the town", "der fluss und die stadt", "a green hill of the house", "ein haus und ein berg"], ["en", "de", "en", "de"]
     model = language_id.fit(texts, labels)
