@@ -57,4 +57,4 @@ def test_messages_reach_the_last_of_many_repeats():
         right.append(k @ (right[-1] * u[n - 1 - i]) / 1e3)
     want = np.array([a * b * c for a, b, c in zip(left, u, right[::-1])])
     assert np.allclose(got[0], want / want.sum(1, keepdims=True), atol=1e-4)
-    assert got[0][-1].argmax() == 2 and got[0][-1][2] > 0.3
+    assert got[0][-1].argmax() == 2 and got[0][-1][2] > 1.8 / L  # 0.3 of the six labels it was written for
