@@ -144,6 +144,21 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return (lo + hi) / 2
 
 
+def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate of each row pair reaches ``least``.
+
+    Only pairs with about enough equal registers are estimated. A pair of the
+    threshold's similarity (least + SLACK) has fewer than REGISTERS * (least - SLACK)
+    of them with a probability below 1e-5, its expectation being five standard
+    deviations above.
+    """
+    out = (a == b).sum(1) >= REGISTERS * (least - SLACK)
+    some = np.flatnonzero(out)
+    if len(some):
+        out[some] = joint_estimate(a[some], b[some], na[some], nb[some]) >= least
+    return out
+
+
 def _sketch(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -210,7 +225,7 @@ def _leaders(batches, least: float):
             member, head = member[member != head], head[member != head]
             for s in range(0, len(member), 1 << 16):
                 m, h = member[s : s + (1 << 16)], head[s : s + (1 << 16)]
-                like = joint_estimate(regs[h], regs[m], size[h], size[m]) >= least
+                like = may_reach(regs[h], regs[m], size[h], size[m], least)
                 alone[m[like]] = False
                 a_out.append(uid[h[like]])
                 b_out.append(uid[m[like]])
@@ -241,7 +256,7 @@ def _apart(batches, least: float):
             for s in range(0, len(x), 1 << 16):
                 i = x[s : s + (1 << 16)]
                 j = i + step
-                like = joint_estimate(regs[i], regs[j], size[i], size[j]) >= least
+                like = may_reach(regs[i], regs[j], size[i], size[j], least)
                 if like.any():
                     a, b = uid[i[like]], uid[j[like]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -368,7 +383,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, one of each group, with their columns unchanged.
 
-    Rows that repeat a kept (doc_id, text) are cut to the number that stays.
+    Rows that repeat a kept (doc_id, text) are cut to the number that stays, in the order of their JSON.
     """
     columns = docs.columns
     marks = near_duplicates(docs, threshold)
@@ -376,7 +391,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     rows = row_of(docs).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.col("row.text").cast("string")).alias("t"))
     joined = cut(kept)
     plain = rows.join(joined.filter("stay = there"), ["d", "t"], "left_semi").select("row")
-    short = rows.join(joined.filter("stay < there"), ["d", "t"]).withColumn("n", F.row_number().over(Window.partitionBy("d", "t").orderBy(F.lit(1)))).filter("n <= stay").select("row")
+    short = rows.join(joined.filter("stay < there"), ["d", "t"]).withColumn("n", F.row_number().over(Window.partitionBy("d", "t").orderBy(F.to_json("row")))).filter("n <= stay").select("row")
     return plain.unionByName(short).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
