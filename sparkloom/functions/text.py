@@ -19,8 +19,8 @@ CITATION = r"\[L(\d+)(?:-(\d+))?\]"
 
 
 def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
-    """A Python pattern for the JVM's engine, and the ordinals of its named groups."""
-    return re.sub(r"\(\?P<", "(?<", pattern), dict(re.compile(pattern).groupindex)
+    """A Python pattern for the JVM's engine, whose names of groups can't have underscores: groups by number, and the numbers of the names."""
+    return re.sub(r"\(\?P<\w+>", "(", pattern), dict(re.compile(pattern).groupindex)
 
 
 def anchored_matches(df: DataFrame, text: str, pattern: str, group: int = 1, keep: list[str] | None = None) -> DataFrame:
@@ -98,6 +98,20 @@ def numbered(text: Column) -> Column:
     return F.array_join(F.transform(text_lines(text), lambda s, i: F.format_string("%4d| %s", i + 1, s)), "\n")
 
 
+def composed(record: Column, kind: str) -> Column:
+    """What is searched of a record (VARIANT): the title and texts of a recipe, case or feature, those that aren't there left out."""
+    get = lambda path, t="string": F.try_variant_get(record, f"$.{path}", t)
+    texts = lambda path: F.array_join(get(path, "array<string>"), " ")
+    if kind == "case":
+        parts = [get("title"), get("root_cause"), get("fix_summary"), texts("lessons")]
+    elif kind == "feature":
+        parts = [get("title"), F.coalesce(*[F.nullif(get(f"summary_{c}"), F.lit("")) for c in ("full", "preview", "fold")])]
+    else:
+        asked = F.array_join(F.transform(get("decision_points", "array<variant>"), lambda d: F.coalesce(F.try_variant_get(d, "$.q", "string"), F.lit(""))), " ")
+        parts = [get("title"), get("task"), get("when"), asked, texts("pitfalls")]
+    return F.concat_ws(" ", *parts)
+
+
 def json_object(text: Column) -> Column:
     """From the first brace to the last one."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

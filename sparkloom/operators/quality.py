@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.lineage import cut
 
 LEVELS = ("code", "inferred", "speculation")
 REQUIRED = ("fold", "preview", "full", "evidence_level")
@@ -61,3 +62,38 @@ def unsupported(claims: DataFrame, judge) -> DataFrame:
     cited = X.cited_lines(F.col("source"), X.citations(F.col("claim")))
     verdict = F.when(F.coalesce(F.col("source"), F.lit("")) == "", "no-source").otherwise(judge(F.col("claim"), cited))
     return claims.withColumn("verdict", F.when(verdict.isin("entailed", "contradicted", "neutral", "no-source"), verdict).otherwise("neutral"))
+
+
+def generate(prompts: DataFrame, backend, attempts: int = 3, known: Column | None = None, judge=None) -> DataFrame:
+    """(id, path, summary fields, errors, status, attempts): replies of ``backend``, checked and asked for again until clean, at most ``attempts`` times.
+
+    prompts(id, path, prompt, source, source_lines); ``backend`` is a function of
+    an array of prompts to an array of replies, called in Arrow batches. A reply
+    that holds no JSON object, breaks a rule, or (with ``judge``) cites lines that
+    don't support it is asked for again with what was wrong; at last it is
+    quarantined. Each attempt is written before the next, so that it runs once.
+    """
+    text = "array<string>"
+    fields = "id string, path string, fold string, preview string, full string, evidence_level string, scope string, invariants array<string>, known_pitfalls array<string>"
+    told = F.arrow_udf(lambda asked: backend(asked), "string")
+    open_rows, done = prompts.withColumn("asked", F.col("prompt")), None
+    columns = ("id", "path", "fold", "preview", "full", "evidence_level", "scope", "invariants", "known_pitfalls")
+    for n in range(1, attempts + 1):
+        replies = cut(open_rows.withColumn("reply", told("asked")))
+        parsed = replies.withColumn("s", F.from_json(X.json_object(F.col("reply")), fields))
+        flat = parsed.select("id", "path", "prompt", "source", "source_lines", *[F.col(f"s.{c}").alias(c) for c in columns[2:]])
+        errors = F.when(F.col("full").isNull() & F.col("fold").isNull() & F.col("preview").isNull(), F.array(F.lit("no JSON object"))).otherwise(lint_errors(known))
+        if judge is not None:
+            loose = F.filter(X.claims(F.coalesce("full", F.lit(""))), lambda c: judge(c, X.cited_lines(F.col("source"), X.citations(c))) != "entailed")
+            errors = F.when(F.size(errors) > 0, errors).otherwise(F.transform(loose, lambda c: F.concat(F.lit("unsupported claim: "), c)))
+        checked = cut(flat.withColumn("errors", errors.cast(text)).withColumn("attempts", F.lit(n)))
+        clean = checked.filter("size(errors) = 0").withColumn("status", F.lit("clean"))
+        bad = checked.filter("size(errors) > 0")
+        if n == attempts:
+            clean = clean.unionByName(bad.withColumn("status", F.lit("quarantined")))
+        done = clean if done is None else done.unionByName(clean)
+        if n == attempts or bad.isEmpty():
+            break
+        again = F.concat("prompt", F.lit("\n\nThe last reply broke these rules:\n"), F.array_join(F.transform("errors", lambda e: F.concat(F.lit("  - "), e)), "\n"), F.lit("\nReturn one JSON object that breaks none."))
+        open_rows = bad.select("id", "path", "prompt", "source", "source_lines", again.alias("asked"))
+    return done.select(*columns, "errors", "status", "attempts")

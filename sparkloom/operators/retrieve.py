@@ -30,8 +30,12 @@ def base_score(raw: list[str], tokens: list[str], name: Column, words: Column, p
     return score
 
 
-def relevant_code(query: str, symbols: DataFrame, edges: DataFrame, ops: DataFrame | None = None, k: int = 10, words: Column | None = None) -> DataFrame:
-    """(id, score, precision): symbols(id, name, path, importance) by score, with ops(id, name) and the neighbours of the best."""
+def relevant_code(query: str, symbols: DataFrame, edges: DataFrame, ops: DataFrame | None = None, k: int = 5, words: Column | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """(id, score, precision): symbols(id, name, path, importance) by score, with ops(op_name, version) and the neighbours of the best.
+
+    An operator's id is op:name:version. With ``summaries``(id, fold, ordinal) the
+    last one of a row's id is attached as ``fold``.
+    """
     raw, tokens = query_tokens(query)
     spark = symbols.sparkSession
     if not raw:
@@ -49,13 +53,18 @@ def relevant_code(query: str, symbols: DataFrame, edges: DataFrame, ops: DataFra
     expanded = around[0].unionByName(around[1]).distinct().select("id", F.lit(0.8).alias("score"), F.lit("expanded").alias("precision"))
     rows = lexical.unionByName(expanded)
     if ops is not None:
-        low = F.lower(F.col("name"))
+        low = F.lower(F.col("op_name"))
         hit = low.isin(raw)
         for t in tokens:
             hit = hit | low.contains(t)
-        rows = rows.unionByName(ops.filter(hit).select("id", F.lit(4.0).alias("score"), F.lit("op").alias("precision")))
+        named = F.concat_ws(":", F.lit("op"), "op_name", "version")
+        rows = rows.unionByName(ops.filter(hit).select(named.alias("id")).distinct().select("id", F.lit(4.0).alias("score"), F.lit("op").alias("precision")))
     one = rows.groupBy("id").agg(F.max_by("precision", "score").alias("precision"), F.round(F.max("score"), 6).alias("score"))
-    return one.orderBy(F.desc("score"), "id").limit(k).select("id", "score", "precision")
+    best = one.orderBy(F.desc("score"), "id").limit(k).select("id", "score", "precision")
+    if summaries is None:
+        return best
+    told = ranking.first_wins(summaries.filter("id is not null").select("id", "fold", "ordinal"), ["id"], [-F.col("ordinal")]).select("id", "fold")
+    return best.join(told, "id", "left").orderBy(F.desc("score"), "id")
 
 
 def exact_then_semantic(records: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -67,6 +76,27 @@ def exact_then_semantic(records: DataFrame, query: str, k: int = 5) -> DataFrame
     return both.withColumn("_best", F.min("_kind").over(Window.partitionBy())).filter("_kind = _best").select("id", "score")
 
 
+def keyword_overlap(records: DataFrame, query: str, k: int = 3) -> DataFrame:
+    """(id, score): the number of the query's words that occur in records(id, text), those with any."""
+    low, score = F.lower("text"), F.lit(0)
+    for w in dict.fromkeys(query.lower().split()):
+        score = score + F.when(low.contains(w), 1).otherwise(0)
+    return records.select("id", score.cast("double").alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+
+def find_recipe(records: DataFrame, query: str, k: int = 3) -> DataFrame:
+    """(id, score): the nearest of records(id, text); if none is near at all, those with words of the query."""
+    near = vectors.top_k(vectors.embed(records, "id", "text"), "id", vectors.query_vector(records, query), k).select("id", "score", F.lit(0).alias("_kind"))
+    both = near.unionByName(keyword_overlap(records, query, k).withColumn("_kind", F.lit(1)))
+    return both.withColumn("_best", F.min("_kind").over(Window.partitionBy())).filter("_kind = _best").select("id", "score")
+
+
+def search_semantic(legs: list[tuple[str, DataFrame, list]], k: int = 5) -> DataFrame:
+    """(kind, id, score, rank, leg): (kind, rows(id, score), order) legs merged by rank, not score, as scores of different kinds don't compare."""
+    named = [(rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score")), order) for kind, rows, order in legs]
+    return ranking.interleave(named, k)
+
+
 def hits(results: DataFrame, expect: Column) -> DataFrame:
     """Adds hit: whether id, anchor, title or name contain what is expected, whatever the case."""
     text = F.lower(F.concat_ws(" ", "id", "anchor", "title", "name"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import graph, joins, vectors
+from . import graph, joins, ranking, vectors
+from .ranking import first_wins
 
 KINDS = ("dead_end", "gotcha", "observation", "root_cause_hypothesis")
 MOST_CHARS = 2000
@@ -98,3 +99,89 @@ def synthesis_inputs(previews: DataFrame) -> DataFrame:
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     g = previews.groupBy(F.when(folder == "", "(root)").otherwise(folder).alias("module")).agg(F.count("*").alias("n"), F.collect_list("preview").alias("previews"))
     return g.select("module", "n", X.input_hash(F.lit(""), F.col("previews")).alias("hash"))
+
+
+FINDING = "id string, created_at timestamp, author string, codebase string, text string, kind string, symbol_ids array<string>, symbol_span_hashes map<string,string>, confidence string, status string, promoted_case_id string, ordinal long"
+
+
+def known_symbols(symbols: DataFrame) -> DataFrame:
+    """(key, hash): ids, names and leaves of symbols(id, name, span_hash, ordinal); the first symbol of a key has it."""
+    keys = symbols.select(F.explode(F.array_distinct(F.array("id", "name", X.leaf(F.col("name"))))).alias("key"), F.col("span_hash").alias("hash"), "ordinal").filter("key is not null")
+    return first_wins(keys, ["key"], [F.col("ordinal")]).select("key", "hash")
+
+
+def record_findings(new: DataFrame, symbols: DataFrame, active: DataFrame, force: bool = False, threshold: float = NEAR) -> DataFrame:
+    """new(id, text, kind, symbol_ids) with outcome, error, duplicate_of, dangling and symbol_span_hashes.
+
+    The outcome is error, skipped (an active finding says the same, unless forced)
+    or recorded. Findings of one batch are compared with the active ones only.
+    """
+    checked = validate_findings(new, symbols).withColumn("text", F.trim("text"))
+    refs = new.select("id", F.explode("symbol_ids").alias("key")).distinct().join(known_symbols(symbols), "key").filter("hash is not null")
+    hashes = refs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "hash"))).alias("symbol_span_hashes"))
+    out = checked.join(hashes, "id", "left").withColumn("symbol_span_hashes", F.coalesce("symbol_span_hashes", F.create_map().cast("map<string,string>")))
+    if force:
+        out = out.withColumn("duplicate_of", F.lit(None).cast("string"))
+    else:
+        near = near_findings(new.select(F.col("id").cast("string").alias("id"), "text"), active.select(F.col("id").cast("string").alias("id"), "text"), threshold)
+        out = out.join(near.groupBy(F.col("new_id").alias("id")).agg(F.min("id").alias("duplicate_of")), "id", "left")
+    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("duplicate_of").isNotNull(), "skipped").otherwise("recorded")
+    return out.withColumn("outcome", outcome)
+
+
+def append_findings(recorded: DataFrame, path: str, author: str = "agent", codebase: str = "") -> None:
+    """Adds the recorded rows to the log; nothing that is there is changed, and ``latest`` reads it."""
+    rows = recorded.filter("outcome = 'recorded'").select(
+        F.col("id").cast("string").alias("id"), F.current_timestamp().alias("created_at"), F.lit(author).alias("author"), F.lit(codebase).alias("codebase"), "text", "kind", "symbol_ids", "symbol_span_hashes",
+        F.lit("speculation").alias("confidence"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("promoted_case_id"), F.unix_micros(F.current_timestamp()).alias("ordinal"),
+    )
+    rows.write.mode("append").parquet(path)
+
+
+def append_state(changed: DataFrame, path: str) -> None:
+    """Adds new states of findings (after mark_stale or transition) to the log, later than those there."""
+    columns = [c.split()[0] for c in FINDING.split(", ")]
+    changed.withColumn("ordinal", F.unix_micros(F.current_timestamp())).select(*columns).write.mode("append").parquet(path)
+
+
+def findings(spark, path: str) -> DataFrame:
+    """The newest state of each finding of the log; none if there is no log."""
+    from ..sources.files import exists
+
+    return latest(spark.read.schema(FINDING).parquet(path)) if exists(spark, path) else spark.createDataFrame([], FINDING)
+
+
+def case_draft() -> Column:
+    """The YAML of a case to be drafted from a promoted finding(id, text, kind, symbol_ids)."""
+    field = F.when(F.col("kind") == "root_cause_hypothesis", "root_cause").otherwise("summary")
+    symbols = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("symbol_ids", F.array().cast("array<string>")), lambda s: F.concat(F.lit('"'), F.regexp_replace(s, r'(["\\])', r"\\$1"), F.lit('"'))), ", "), F.lit("]"))
+    text = F.replace("text", F.lit("\n"), F.lit("\n  "))
+    return F.concat_ws("\n", F.concat(F.lit("id: case-from-"), "id"), F.lit("title: TODO"), F.lit("status: draft"), F.concat(field, F.lit(": >\n  "), text), F.concat(F.lit("affected_symbols: "), symbols), F.lit("confidence: speculation"))
+
+
+def span_hashes(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, path, hash): the first 12 digits of the SHA-256 of each symbol's lines, by rule A, of symbols(id, path, line) in files(path, text)."""
+    sized = symbols.select("id", "path", "line").join(files.select("path", X.text_lines(F.col("text")).alias("_lines")), "path")
+    spans = ranking.spans_distinct(sized.select("id", "path", "line", F.size("_lines").alias("_n")), "path", "line", F.col("_n"))
+    text = F.array_join(F.slice("_lines", F.greatest(F.col("line"), F.lit(1)), F.greatest(F.col("end") - F.greatest(F.col("line"), F.lit(1)) + 1, F.lit(0)).cast("int")), "\n")
+    return spans.join(files.select("path", X.text_lines(F.col("text")).alias("_lines")), "path").select("id", "path", F.substring(F.sha2(text.cast("binary"), 256), 1, 12).alias("hash"))
+
+
+def symbol_drift(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, reason) of symbols(id, path, line, span_hash) that were hashed: file_missing, or span_changed."""
+    own = symbols.filter("coalesce(span_hash, '') <> ''")
+    now = span_hashes(own, files).select("id", "hash")
+    there = files.select("path").distinct().withColumn("_there", F.lit(True))
+    out = own.join(there, "path", "left").join(now, "id", "left")
+    reason = F.when(F.col("_there").isNull(), "file_missing").when(F.coalesce("hash", F.lit("")) != F.col("span_hash"), "span_changed")
+    return out.select("id", reason.alias("reason")).filter("reason is not null")
+
+
+def verify(symbols: DataFrame, files: DataFrame, cached: DataFrame, refs: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+    """The four checks: symbols whose text moved, files against cached(path, hash), dangling refs(ref), and findings gone stale."""
+    disk = files.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    hashes = span_hashes(symbols, files).select(F.col("id").alias("symbol"), "hash")
+    return {
+        "symbols": symbol_drift(symbols, files), "files": joins.classify_files(cached, disk).filter("status <> 'fresh'"), "links": joins.dangling(refs, symbols),
+        "findings": mark_stale(stored, hashes).filter("status = 'stale'"),
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.lineage import cut
 
 BUCKETS = 256
 #: Vectors of a block of the exact product, about.
@@ -21,8 +22,8 @@ def bucket(token: Column) -> Column:
 
 
 def embed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, bucket, weight): token counts a bucket, of unit length; texts without tokens have no rows."""
-    tokens = df.select(id_col, F.explode(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"({X.ASCII_WORD})"), 1), F.lower)).alias("token"))
+    """(id, bucket, weight): counts of search tokens a bucket, of unit length; texts without tokens have no rows."""
+    tokens = df.select(id_col, F.explode(X.search_tokens(F.col(text_col))).alias("token"))
     counts = tokens.groupBy(id_col, bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double")).over(Window.partitionBy(id_col)))
     return counts.select(id_col, "bucket", (F.col("n") / norm).alias("weight"))
@@ -76,20 +77,74 @@ def _block_scores(batches, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(other[j]), pa.array(score[i, j])], ["query", "item", "score"])
 
 
-def nearest_all(items: DataFrame, k: int) -> DataFrame:
-    """(query, item, rank) of every one of items(item, vector) among the others; exact, by products of two blocks.
+def nearest_all(items: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """(query, item, rank) of every one of asked(item, vector), or of items themselves, among items(item, vector); exact, by products of two blocks.
 
     Ids are whole numbers and unique, vectors of one length and not null.
     """
-    blocks = max(1, -(-items.count() // BLOCK))
-    numbered = items.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.struct(F.col("item").cast("long").alias("item"), "vector").alias("row"))
-    packed = numbered.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    pairs = packed.select(F.col("rows").alias("asked")).repartition(blocks).crossJoin(packed.select(F.col("rows").alias("other")))
-    scores = pairs.mapInArrow(lambda it: _block_scores(it, k), "query long, item long, score double")
+    def packed(rows: DataFrame) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-rows.count() // BLOCK))
+        numbered = rows.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.struct(F.col("item").cast("long").alias("item"), "vector").alias("row"))
+        return numbered.groupBy("block").agg(F.collect_list("row").alias("rows")), blocks
+
+    other, n = packed(items)
+    own, m = (other, n) if asked is None else packed(asked)
+    # every block of the one meets every block of the other: the larger side stays where it is, the smaller is copied
+    few, many = (own, other) if m <= n else (other, own)
+    names = ("asked", "other") if m <= n else ("other", "asked")
+    pairs = many.select(F.col("rows").alias(names[1])).repartition(max(m, n)).crossJoin(few.select(F.col("rows").alias(names[0])))
+    scores = pairs.select("asked", "other").mapInArrow(lambda it: _block_scores(it, k), "query long, item long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return scores.select("query", "item", F.round("score", 9).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def model_embedder(session, tokenize, dim: int, most: int = 256):
+    """An Arrow UDF text → unit vector from a model: ``session()`` gives, once in each worker, a function of (ids, mask) matrices to hidden states.
+
+    ``tokenize`` gives a text's token ids. Without a model, ``embed`` serves.
+    """
+    held: list = []
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(session())
+        ids = [tokenize(t or "")[:most] or [0] for t in texts.to_pylist()]
+        width = max(map(len, ids), default=1)
+        rows, mask = np.zeros((len(ids), width), np.int64), np.zeros((len(ids), width), np.int64)
+        for i, r in enumerate(ids):
+            rows[i, : len(r)], mask[i, : len(r)] = r, 1
+        hidden = np.asarray(held[0](rows, mask), np.float64).reshape(len(ids), width, dim)
+        mean = (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1), 1)[:, None]
+        size = np.sqrt((mean * mean).sum(1, keepdims=True))
+        return pa.array((mean / np.where(size > 0, size, 1)).tolist(), pa.list_(pa.float64()))
+
+    return run
+
+
+def similar_classes(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(id, class_id, size, links) of sets(id, tokens): sets that are equal are one class, named by its least id.
+
+    ``links`` counts the other classes that reach the threshold with it. Empty sets
+    are a class of their own each, without links. Copies join nothing, however many.
+    """
+    return _classes(sets)[0].join(class_pairs(sets, threshold).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left").select("id", "class_id", "size", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id, size) of each set, and (id, tokens) of each class that isn't empty."""
+    marked = sets.select("id", "tokens", F.when(F.size("tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), " "), 256)).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))).alias("mark"))
+    of = marked.groupBy("mark").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    whole = marked.select("id", "mark").join(of, "mark").select("id", "class_id", "size")
+    return whole, marked.filter(F.size("tokens") > 0).groupBy("mark").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")).select("id", "tokens")
+
+
+def class_pairs(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(a, b, jaccard) of the classes of sets(id, tokens) that reach the threshold."""
+    heads = cut(_classes(sets)[1])
+    return jaccard_pairs(heads.withColumn("block", F.lit(0)), threshold).drop("block")
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(block, a, b, jaccard) of sets(block, id, tokens) of one block, exactly.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import shlex
+import time
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 CODE = tuple("." + e for e in "c cc cpp cxx go h hh hpp java js m mm py rs ts".split())
 C_LIKE = (".c", ".cc", ".cpp", ".cxx", ".h", ".hpp", ".hxx")
@@ -20,9 +22,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def code_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = CODE, only: str | None = None, max_bytes: int | None = None) -> DataFrame:
-    """(path, text, hash, n_bytes) below root, without .git; the size filter is pushed into the scan."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def code_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = CODE, only: str | None = None, max_bytes: int | None = None, limit: int | None = None) -> DataFrame:
+    """(path, text, hash, n_bytes) below root, without .git; suffix and size are filters of the listing, before any content is read.
+
+    ``limit`` keeps the first files in the order of their paths.
+    """
+    ends = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{ends}}}").load(root)
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
     base = root.rstrip("/") + "/"
@@ -31,6 +37,8 @@ def code_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = CODE,
     out = out.filter(F.lower("path").rlike(f"({'|'.join(s.replace('.', chr(92) + '.').replace('+', chr(92) + '+') for s in suffixes)})$")).filter(~F.concat(F.lit("/"), "path").contains("/.git/"))
     if only:
         out = out.filter(F.col("path").startswith(only))
+    if limit is not None:
+        out = out.join(F.broadcast(out.select("path").orderBy("path").limit(limit)), "path", "left_semi")
     return out.select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("hash"), "n_bytes")
 
 
@@ -52,8 +60,11 @@ def tags(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.concat_ws(":", "path", "name", "line").alias("id"), "name", "path", "line", "kind", "language", "scope", "signature")
 
 
-def records(spark: SparkSession, folder: str, default_confidence: str = "speculation") -> DataFrame:
-    """(id, file, confidence, data as VARIANT) of the YAML mappings of a folder; the id is the file's stem unless given."""
+def records(spark: SparkSession, folder: str, default_confidence: str = "speculation", need_id: bool = False) -> DataFrame:
+    """(id, file, confidence, data as VARIANT) of the YAML mappings of a folder; the id is the file's stem unless given.
+
+    With ``need_id``, as for cases and features, mappings without an id are left out. No folder, no rows.
+    """
     import json
 
     def parse(batches):
@@ -66,12 +77,14 @@ def records(spark: SparkSession, folder: str, default_confidence: str = "specula
                     data = yaml.safe_load(content)
                 except yaml.YAMLError:
                     continue
-                if isinstance(data, dict):
+                if isinstance(data, dict) and (data.get("id") or not need_id):
                     stem = os.path.splitext(os.path.basename(path))[0]
                     rows.append((str(data.get("id") or stem), path, str(data.get("confidence") or default_confidence), json.dumps(data, default=str, sort_keys=True)))
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["id", "file", "confidence", "json"])
 
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "id string, file string, confidence string, json string").select("id", "file", "confidence", F.parse_json("json").alias("data"))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}").load(folder).select("path", "content")
     return raw.mapInArrow(parse, "id string, file string, confidence string, json string").select("id", "file", "confidence", F.parse_json("json").alias("data"))
 
@@ -84,15 +97,19 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index(head, "\t", 1).alias("sha"), F.expr("substr(element_at(split(value, '\\n'), 1), instr(element_at(split(value, '\\n'), 1), '\\t') + 1)").alias("subject"), F.filter(F.slice(lines, 2, 1 << 30), lambda x: F.trim(x) != "").alias("files"))
 
 
+def span(r: Column) -> tuple[Column, Column]:
+    """First and last line of a range of four numbers, or of three on one line."""
+    return F.get(r, F.lit(0)), F.when(F.size(r) >= 4, F.get(r, F.lit(2))).otherwise(F.get(r, F.lit(0)))
+
+
 def precise_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, symbol, line, role, lo, hi) of an index's occurrences, with camel or snake case keys; local symbols are left out."""
     occurrence = "array<struct<symbol:string,range:array<int>,symbolRoles:int,symbol_roles:int,enclosingRange:array<int>,enclosing_range:array<int>>>"
     raw = spark.read.option("multiLine", True).schema(f"documents array<struct<relativePath:string,relative_path:string,occurrences:{occurrence}>>").json(path)
     docs = raw.select(F.explode("documents").alias("d")).select(F.coalesce("d.relativePath", "d.relative_path").alias("path"), F.explode("d.occurrences").alias("o"))
-    span = F.coalesce("o.enclosingRange", "o.enclosing_range", "o.range")
-    last = F.when(F.size(span) >= 4, span[2]).otherwise(span[0])
+    first, last = span(F.coalesce("o.enclosingRange", "o.enclosing_range", "o.range"))
     is_def = F.coalesce("o.symbolRoles", "o.symbol_roles", F.lit(0)).bitwiseAND(1) == 1
-    out = docs.select("path", F.col("o.symbol").alias("symbol"), F.col("o.range")[0].alias("line"), F.when(is_def, "def").otherwise("ref").alias("role"), span[0].alias("lo"), last.alias("hi"))
+    out = docs.select("path", F.col("o.symbol").alias("symbol"), F.col("o.range")[0].alias("line"), F.when(is_def, "def").otherwise("ref").alias("role"), first.alias("lo"), last.alias("hi"))
     return out.filter(~F.col("symbol").startswith("local "))
 
 
@@ -126,8 +143,12 @@ def make_commands(lines: DataFrame) -> DataFrame:
     return lines.select("value").mapInArrow(parse, "file string, arguments array<string>")
 
 
-def compile_rows(files: DataFrame) -> DataFrame:
-    """(file, arguments) made up for C-like files(path): includes of the root and of every include folder."""
+SKIPPED = (".git", ".cache", "build", "node_modules", "third_party", "out")
+
+
+def compile_rows(files: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(file, arguments) made up for C-like files(path): includes of the root and of every include folder; skipped folders are left out at any depth."""
+    files = files.filter(~F.arrays_overlap(F.split(F.regexp_replace("path", "[^/]*$", ""), "/"), F.array(*map(F.lit, skipped))))
     includes = files.select(F.explode(F.regexp_extract_all("path", F.lit("^((?:.*/)?include)/"), 1)).alias("i"))
     flags = includes.agg(F.transform(F.sort_array(F.collect_set("i")), lambda i: F.concat(F.lit("-I"), i)).alias("flags"))
     sources = files.filter(F.col("path").rlike(r"\.(c|cc|cpp|cxx)$"))
@@ -135,19 +156,49 @@ def compile_rows(files: DataFrame) -> DataFrame:
     return sources.crossJoin(F.broadcast(flags)).select(F.col("path").alias("file"), F.concat(std, F.array(F.lit("-I.")), "flags", F.array(F.lit("-c"), F.col("path"))).alias("arguments"))
 
 
-def write_edge_index(edges: DataFrame, folder: str) -> None:
-    """Edges in both orders, each written beside its place and put there by a rename."""
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_edge_index(edges: DataFrame, folder: str, stamp: DataFrame | None = None) -> None:
+    """Edges(caller, callee, xref…) in both orders, one row a pair, precise ones first, in a folder of their own.
+
+    The new folder is written beside the others and named in the file CURRENT,
+    which is replaced by one rename: a reader finds the old index or the new one.
+    ``stamp`` (of ``freshness``) is kept with it.
+    """
+    from ..operators.joins import precedence_union
+
     spark = edges.sparkSession
-    jvm = spark._jvm
+    if "xref" in edges.columns:
+        edges = precedence_union(edges.filter("xref = 'precise'"), edges.filter("xref <> 'precise' or xref is null"), ["caller", "callee"])
+    version = f"v{time.time_ns()}"
     for end in ("caller", "callee"):
-        to, beside = f"{folder}/by_{end}", f"{folder}/.by_{end}.new"
-        edges.repartitionByRange(end).sortWithinPartitions(end).write.mode("overwrite").parquet(beside)
-        new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(to)
-        fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(old):
-            fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"can't put {to} in place")
+        edges.repartitionByRange(end).sortWithinPartitions(end).write.parquet(f"{folder}/{version}/by_{end}")
+    if stamp is not None:
+        stamp.write.parquet(f"{folder}/{version}/stamp")
+    fs, at = _file_system(spark, f"{folder}/.CURRENT.{version}")
+    out = fs.create(at, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context.rename(at, _file_system(spark, f"{folder}/CURRENT")[1], options)
+
+
+def read_edge_index(spark: SparkSession, folder: str, end: str = "caller", now: DataFrame | None = None, fallback=None) -> DataFrame:
+    """The index in the order of ``end``; ``fallback()`` if there is none, or its stamp isn't ``now``'s: never a stale one."""
+    if exists(spark, f"{folder}/CURRENT"):
+        version = spark.read.text(f"{folder}/CURRENT").first()[0].strip()
+        at = f"{folder}/{version}"
+        if now is None or exists(spark, f"{at}/stamp") and is_fresh(now, spark.read.parquet(f"{at}/stamp")):
+            return spark.read.parquet(f"{at}/by_{end}")
+    if fallback is None:
+        raise FileNotFoundError(f"no fresh index in {folder}")
+    return fallback()
 
 
 def freshness(spark: SparkSession, path: str) -> DataFrame:
@@ -169,3 +220,57 @@ def log_access(spark: SparkSession, path: str, tool: str, arguments: dict, resul
         spark.createDataFrame(row, "tool string, arg_keys array<string>, n int, empty boolean").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
     except Exception as failed:  # noqa: BLE001
         print(f"access log: {failed}")
+
+
+def churn_log(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha, author, modified, ordinal) of log text, newest first: a line of sha, author and date parted by tabs, then the files of the commit.
+
+    The log is one stream, so the header that a line belongs to is the last one
+    above it: byte offsets order the lines, and a window over ranges of them,
+    with the last header of earlier ranges, carries it down.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    head = F.when(F.size(F.split("value", "\t")) == 3, F.struct(F.split("value", "\t").alias("p"), F.col("at").alias("ordinal")))
+    marked = lines.select("file", "at", "value", head.alias("head")).withColumn("part", F.shiftright("at", 33))
+    within = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marked.groupBy("file", "part").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("end"))
+    before = ends.withColumn("before", F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("file", "part", "before")
+    held = marked.withColumn("own", F.last("head", ignorenulls=True).over(within)).join(F.broadcast(before), ["file", "part"]).filter("head is null")
+    h = F.coalesce("own", "before")
+    return held.select(F.trim("value").alias("path"), h["p"][0].alias("sha"), h["p"][1].alias("author"), h["p"][2].alias("modified"), h["ordinal"].alias("ordinal"))
+
+
+def churn_of(log: DataFrame) -> DataFrame:
+    """(path, churn, last_author, last_modified) of churn_log rows; the newest is that of the least ordinal."""
+    return log.groupBy("path").agg(F.count("*").alias("churn"), F.min_by("author", "ordinal").alias("last_author"), F.min_by("modified", "ordinal").alias("last_modified"))
+
+
+def file_api_targets(spark: SparkSession, build: str) -> DataFrame:
+    """(kind, name, type, sources, deps, method, fidelity) of the build system's reply files: the last code model, its first configuration."""
+    reply = f"{build.rstrip('/')}/.cmake/api/v1/reply"
+    model = spark.read.option("multiLine", True).schema("configurations array<struct<targets:array<struct<jsonFile:string,name:string>>>>").option("pathGlobFilter", "codemodel-v2-*.json").json(reply).select("configurations", F.col("_metadata.file_name").alias("file"))
+    last = model.agg(F.max_by("configurations", "file").alias("c"))
+    wanted = last.select(F.posexplode(F.col("c")[0]["targets"]).alias("ordinal", "t")).select("ordinal", F.col("t.jsonFile").alias("file"))
+    shape = "name string, type string, sources array<struct<path:string>>, dependencies array<struct<id:string>>"
+    files = spark.read.option("multiLine", True).schema(shape).option("pathGlobFilter", "target-*.json").json(reply).select("*", F.col("_metadata.file_name").alias("file"))
+    none = F.array().cast("array<string>")
+    return files.join(F.broadcast(wanted), "file").select(
+        F.lit("target").alias("kind"), "name", F.lower(F.regexp_replace(F.coalesce("type", F.lit("")), "_LIBRARY", "")).alias("type"), F.coalesce(F.col("sources.path"), none).alias("sources"),
+        F.coalesce(F.transform("dependencies", lambda d: F.substring_index(d["id"], "::@", 1)), none).alias("deps"), F.lit("cmake-file-api").alias("method"), F.lit("exact").alias("fidelity"), "ordinal",
+    )
+
+
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(data as VARIANT, ordinal) of a summary file: JSON lines, or YAML with a list, one mapping, or a mapping of mappings."""
+    if path.endswith(".jsonl"):
+        rows = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("json"), F.monotonically_increasing_id().alias("ordinal"))
+    else:
+        import json
+
+        import yaml
+
+        data = yaml.safe_load(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])) or []
+        if isinstance(data, dict):
+            data = list(data.values()) if data and all(isinstance(v, dict) for v in data.values()) else [data]
+        rows = spark.createDataFrame([(json.dumps(d, default=str, sort_keys=True), i) for i, d in enumerate(data)], "json string, ordinal long")
+    return rows.select(F.parse_json("json").alias("data"), "ordinal")
