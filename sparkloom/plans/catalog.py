@@ -29,7 +29,6 @@ def query(sql: str | None = None):
 
 
 LICENSE, HREF = r"Released under the (\w+) License", 'href="([^"]*)"'
-_TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda w: lower(w))"
 _GRAPH = """edges AS (
   SELECT DISTINCT 'c' || o_custkey AS caller, 's' || l_suppkey AS callee FROM orders JOIN lineitem ON l_orderkey = o_orderkey
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
@@ -88,31 +87,23 @@ def summary_join_priority(spark, sf):
     return joins.summary_join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("path")), summaries)
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?].*$', '', 'g') AS path FROM pages)
-SELECT page_id, path, 'host-' || split_part(path, '/', 1) AS target FROM p""")
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages), d AS (SELECT DISTINCT split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang, path FROM p),
+s AS (SELECT path, 'host-' || host AS target, 1 AS rank FROM d WHERE lang <> 'de' UNION ALL SELECT path, 'lang-' || lang, 0 FROM d WHERE lang = 'en')
+SELECT page_id, p.path, t.target FROM p LEFT JOIN (SELECT path, arg_min(target, rank) AS target FROM s GROUP BY path) t ON t.path = p.path""")
 def target_join(spark, sf):
-    path = F.regexp_replace("url", r"^[a-z]+://|[?].*$", "")
-    pages = _t(spark, sf, "pages").select("page_id", path.alias("path"))
-    host = F.split("path", "/")[0]
-    targets = pages.groupBy(host.alias("host")).agg(F.collect_set(F.expr("substring(path, length(split(path, '/')[0]) + 2)")).alias("sources"))
-    targets = targets.select(F.concat(F.lit("host-"), "host").alias("name"), F.col("host").alias("ordinal"), F.concat("host", F.lit("/CMakeLists.txt")).alias("defined_in"), F.concat("sources", F.array(F.lit("${SRCS}"))).alias("sources"))
-    return joins.target_join(pages, targets).select("page_id", "path", "target")
-
-
-@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark), big AS (SELECT name FROM names WHERE length(name) >= 6),
-tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents)
-SELECT 'd' || doc_id AS caller, name AS callee FROM tokens JOIN big ON token = name""")
-def edges_by_token(spark, sf):
-    names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct().filter(F.length("name") >= 6)
-    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"))
-    return joins.token_edges(docs, names.select(F.col("name").alias("id"), "name"))
+    """Hosts list their pages but German ones, which miss, and languages English ones again, first; a source with a variable is no path."""
+    pages = _t(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "").alias("path"))
+    p = pages.select("path", F.split("path", "/")[0].alias("host"), F.get(F.split("path", "/"), F.lit(1)).alias("lang"), F.expr("substring(path, length(split(path, '/')[0]) + 2)").alias("rest"))
+    made = lambda d, name, rank, folder, source: d.groupBy(F.col(name).alias("key"), F.lit(rank).alias("ordinal")).agg(F.concat(F.collect_set(source), F.array(F.lit("${SRCS}"), F.concat(F.lit("${DIR}/"), F.first(source)))).alias("sources")).select(F.concat(F.lit(f"{name}-"), "key").alias("name"), "ordinal", folder.alias("defined_in"), "sources")
+    hosts = made(p.filter("coalesce(lang, '') <> 'de'"), "host", 1, F.concat("key", F.lit("/CMakeLists.txt")), "rest")
+    langs = made(p.filter("lang = 'en'"), "lang", 0, F.lit("CMakeLists.txt"), "path")
+    return joins.target_join(pages, hosts.unionByName(langs)).select("page_id", "path", "target")
 
 
 @query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark),
 tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents)
 SELECT 'd' || doc_id AS caller, name AS callee FROM tokens JOIN names ON token = name""")
-def edges_by_token_all(spark, sf):
-    """edges_by_token with names of any length that the identifier pattern has."""
+def edges_by_token(spark, sf):
     names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct()
     docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"))
     return joins.token_edges(docs, names.select(F.col("name").alias("id"), "name"))
@@ -254,24 +245,14 @@ def access_report(spark, sf):
     return aggregates.access_report(_t(spark, sf, "events").select(F.col("event_type").alias("tool"), (F.col("value") < 10).alias("empty")))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS query, q.label AS want, e.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r
-  FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), h AS (SELECT query, want % 3 AS class, bool_or(want = got) AS hit FROM s WHERE r <= 5 GROUP BY ALL)
-SELECT class, count(*) AS n, count(*) FILTER (hit) AS hits, coalesce(list(query ORDER BY query) FILTER (NOT hit), []) AS misses, round(count(*) FILTER (hit) / count(*), 3) AS rate FROM h GROUP BY ROLLUP (class)""")
-def recall_at_k(spark, sf):
-    e = _t(spark, sf, "embeddings")
-    asked = F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")))
-    near = vectors.nearest(asked, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 5)
-    got = near.join(e.select(F.col("vec_id").alias("item"), F.col("label").alias("got")), "item").join(F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("label").alias("want"))), "query")
-    return aggregates.recall_report(got.groupBy((F.col("want") % 3).alias("class"), F.col("query").alias("id")).agg(F.bool_or(F.col("want") == F.col("got")).alias("hit")))
-
-
 @query("""WITH s AS (SELECT q.vec_id AS query, q.label AS want, e.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r
-  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id), h AS (SELECT query, want % 3 AS class, bool_or(want = got) AS hit FROM s WHERE r <= 5 GROUP BY ALL)
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0), h AS (SELECT query, want % 3 AS class, bool_or(want = got) AS hit FROM s WHERE r <= 5 GROUP BY ALL)
 SELECT class, count(*) AS n, count(*) FILTER (hit) AS hits, coalesce(list(query ORDER BY query) FILTER (NOT hit), []) AS misses, round(count(*) FILTER (hit) / count(*), 3) AS rate FROM h GROUP BY ROLLUP (class)""")
-def recall_at_k_all(spark, sf):
-    """recall_at_k with every embedding as a query."""
+def recall_at_k(spark, sf):
+    """The queries are the vectors whose id is divisible by 50; each is compared with all others, in blocks."""
     e = _t(spark, sf, "embeddings")
-    near = vectors.nearest_all(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 5)
+    vectors_of = lambda d: d.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    near = vectors.nearest_all(vectors_of(e), 5, vectors_of(e.filter("vec_id % 50 = 0")))
     got = near.join(e.select(F.col("vec_id").alias("item"), F.col("label").alias("got")), "item").join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("want")), "query")
     return aggregates.recall_report(got.groupBy((F.col("want") % 3).alias("class"), F.col("query").alias("id")).agg(F.bool_or(F.col("want") == F.col("got")).alias("hit")))
 
@@ -334,7 +315,9 @@ def interleave(spark, sf):
     return ranking.interleave([(x, order) for x in legs], 25).select("kind", "name", "rank", "leg")
 
 
-_EMBED = f"""tok AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents), cnt AS (SELECT doc_id, ('0x' || substr(md5(token), 31, 2))::INTEGER AS bucket, count(*) AS n FROM tok GROUP BY 1, 2),
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_SEARCH = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN (" + _STOP + "))"
+_EMBED = f"""tok AS (SELECT doc_id, unnest({_SEARCH.format('text')}) AS token FROM documents), cnt AS (SELECT doc_id, ('0x' || substr(md5(token), 31, 2))::INTEGER AS bucket, count(*) AS n FROM tok GROUP BY 1, 2),
 emb AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)::DOUBLE) AS weight FROM cnt)"""
 
 
@@ -346,28 +329,22 @@ def hash_embed(spark, sf):
 ASKED = "released under the Apache License version 2"
 
 
-@query(f"""WITH {_EMBED}, q AS (SELECT ('0x' || substr(md5(w), 31, 2))::INTEGER AS bucket, count(*) AS n FROM (SELECT unnest({_TOKENS.format(f"'{ASKED}'")}) AS w) GROUP BY 1),
+@query(f"""WITH {_EMBED}, q AS (SELECT ('0x' || substr(md5(w), 31, 2))::INTEGER AS bucket, count(*) AS n FROM (SELECT unnest({_SEARCH.format(f"'{ASKED}'")}) AS w) GROUP BY 1),
 s AS (SELECT doc_id, round(sum(weight * q.n) / sqrt((SELECT sum(n * n) FROM q)::DOUBLE), 4) AS score FROM emb JOIN q USING (bucket) GROUP BY doc_id)
 SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5""")
 def vector_topk(spark, sf):
     return vectors.top_k(vectors.embed(_t(spark, sf, "documents"), "doc_id", "text"), "doc_id", vectors.query_vector(_t(spark, sf, "documents"), ASKED), 5)
 
 
-@query(r"""WITH t AS (SELECT source, doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2)) AS toks FROM documents),
-u AS (SELECT source, doc_id, unnest(toks) AS token FROM t), s AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.source = b.source AND a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT s.source AS block, s.a, s.b, round(n / (len(x.toks) + len(y.toks) - n), 6) AS jaccard FROM s JOIN t x ON x.doc_id = s.a JOIN t y ON y.doc_id = s.b WHERE round(n / (len(x.toks) + len(y.toks) - n), 6) >= 0.6""")
+@query(r"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2))) AS toks FROM documents),
+m AS (SELECT doc_id, toks, CASE WHEN len(toks) = 0 THEN '-' || doc_id ELSE array_to_string(toks, ' ') END AS mark FROM t), c AS (SELECT mark, min(doc_id) AS class_id, count(*) AS size, any_value(toks) AS toks FROM m GROUP BY mark),
+u AS (SELECT class_id, unnest(toks) AS token FROM c), s AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS n FROM u a JOIN u b ON a.token = b.token AND a.class_id < b.class_id GROUP BY ALL),
+p AS (SELECT s.a, s.b FROM s JOIN c x ON x.class_id = s.a JOIN c y ON y.class_id = s.b WHERE round(n / (len(x.toks) + len(y.toks) - n), 6) >= 0.6), l AS (SELECT id, count(*) AS links FROM (SELECT unnest([a, b]) AS id FROM p) GROUP BY id)
+SELECT m.doc_id AS id, c.class_id, c.size, coalesce(l.links, 0) AS links FROM m JOIN c USING (mark) LEFT JOIN l ON l.id = c.class_id""")
 def near_dup_jaccard(spark, sf):
-    sets = _t(spark, sf, "documents").select(F.col("source").alias("block"), F.col("doc_id").alias("id"), F.array_distinct(X.search_tokens(F.col("text"), stop=False)).alias("tokens"))
-    return vectors.jaccard_pairs(sets)
-
-
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2)) AS toks FROM documents),
-u AS (SELECT doc_id, unnest(toks) AS token FROM t), s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT s.a, s.b, round(n / (len(x.toks) + len(y.toks) - n), 6) AS jaccard FROM s JOIN t x ON x.doc_id = s.a JOIN t y ON y.doc_id = s.b WHERE round(n / (len(x.toks) + len(y.toks) - n), 6) >= 0.6""")
-def near_dup_jaccard_all(spark, sf):
-    """near_dup_jaccard without its block: copies in different sources are pairs too."""
-    sets = _t(spark, sf, "documents").select(F.lit(0).alias("block"), F.col("doc_id").alias("id"), F.array_distinct(X.search_tokens(F.col("text"), stop=False)).alias("tokens"))
-    return vectors.jaccard_pairs(sets).drop("block")
+    """Each document's class of equal token sets, and how many other classes are near duplicates of it."""
+    sets = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(X.search_tokens(F.col("text"), stop=False)).alias("tokens"))
+    return vectors.similar_classes(sets)
 
 
 @query(f"""WITH RECURSIVE {_GRAPH}, nodes AS (SELECT caller AS id FROM edges UNION SELECT callee FROM edges), size AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT caller, count(*) AS degree FROM edges GROUP BY caller),
@@ -410,8 +387,9 @@ def _relevant_sql() -> str:
 lex AS (SELECT id, base + 2 * share AS score, CASE WHEN base >= 5 THEN 'exact' ELSE 'partial' END AS precision FROM base WHERE base > 0),
 best AS (SELECT id FROM lex ORDER BY score DESC, id LIMIT 3), near AS (SELECT DISTINCT b.id AS hit, 's' || l_suppkey AS id FROM lineitem JOIN best b ON b.id = 'p' || l_partkey),
 five AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY id) AS r FROM near) WHERE r <= 5),
-alls AS (SELECT * FROM lex UNION ALL SELECT DISTINCT id, 0.8, 'expanded' FROM five)
-SELECT id, round(max(score), 6) AS score, arg_max(precision, score) AS precision FROM alls GROUP BY id ORDER BY max(score) DESC, id LIMIT 25"""
+alls AS (SELECT * FROM lex UNION ALL SELECT DISTINCT id, 0.8, 'expanded' FROM five UNION ALL SELECT DISTINCT 'op:' || p_type || ':' || p_size, 4.0, 'op' FROM part WHERE {' OR '.join([f"lower(p_type) = '{t}'" for t in raw] + [f"contains(lower(p_type), '{t}')" for t in tokens])}),
+top AS (SELECT id, round(max(score), 6) AS score, arg_max(precision, score) AS precision FROM alls GROUP BY id ORDER BY max(score) DESC, id LIMIT 25)
+SELECT top.*, CASE WHEN starts_with(id, 'p') THEN p_brand END AS fold FROM top LEFT JOIN part ON id = 'p' || p_partkey"""
 
 
 @query(_relevant_sql())
@@ -419,16 +397,24 @@ def relevant_parts(spark, sf):
     part = _t(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("path"), F.col("p_retailprice").alias("importance"))
     edges = _t(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("caller"), F.concat(F.lit("s"), "l_suppkey").alias("callee"))
     words = F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 2)
-    return retrieve.relevant_code(RELEVANT, part, edges, k=25, words=words)
+    ops = _t(spark, sf, "part").select(F.col("p_type").alias("op_name"), F.col("p_size").cast("string").alias("version"))
+    told = _t(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_brand").alias("fold"), F.col("p_partkey").alias("ordinal"))
+    return retrieve.relevant_code(RELEVANT, part, edges, ops, k=25, words=words, summaries=told)
 
 
-_EXACT = """SELECT c_name AS id, 1.0::DOUBLE AS score FROM customer WHERE lower(c_name) = 'customer#000000042' OR c_custkey::VARCHAR = 'customer#000000042'"""
+_NEAR = f"""tok AS (SELECT c_name AS id, unnest({_SEARCH.format("c_name || ' ' || c_mktsegment")}) AS token FROM customer), cnt AS (SELECT id, ('0x' || substr(md5(token), 31, 2))::INTEGER AS bucket, count(*) AS n FROM tok GROUP BY 1, 2),
+emb AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)::DOUBLE) AS weight FROM cnt), q AS (SELECT ('0x' || substr(md5(w), 31, 2))::INTEGER AS bucket, count(*) AS n FROM (SELECT unnest({_SEARCH.format("'machinery customer 000000042'")}) AS w) GROUP BY 1),
+near AS (SELECT id, round(sum(weight * q.n) / sqrt((SELECT sum(n * n) FROM q)::DOUBLE), 4) AS score FROM emb JOIN q USING (bucket) GROUP BY id)"""
 
 
-@query(_EXACT)
+@query(f"""WITH {_NEAR} SELECT 'exact' AS branch, c_name AS id, 1.0::DOUBLE AS score FROM customer WHERE lower(c_name) = 'customer#000000042'
+UNION ALL SELECT 'ticket', c_name, 1.0 FROM customer WHERE c_custkey = 17 UNION ALL (SELECT 'near', id, score FROM near WHERE score > 0 ORDER BY score DESC, id LIMIT 5)""")
 def exact_then_semantic(spark, sf):
+    """By name, by ticket, and, as neither is the third query, by nearness."""
     records = _t(spark, sf, "customer").select(F.col("c_name").alias("id"), F.col("c_custkey").cast("string").alias("ticket"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
-    return retrieve.exact_then_semantic(records, "customer#000000042")
+    asked = (("exact", "Customer#000000042"), ("ticket", " 17 "), ("near", "machinery customer 000000042"))
+    out = [retrieve.exact_then_semantic(records, q).select(F.lit(kind).alias("branch"), "id", "score") for kind, q in asked]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 _COMPOSED = """s AS (SELECT doc_id AS id, substr(source, 1, 1 + doc_id % 25) || repeat('x', (doc_id % 25)::INTEGER) AS fold, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'p [L2-4]' END AS preview, 'Does it [L' || n_chars || ']. Plain sentence here. Range [L3-' || (doc_id % 9) || '] x.' AS "full",
@@ -477,21 +463,9 @@ def ladder(spark, sf):
     return quality.promote(req).select("id", "confidence", "error")
 
 
-@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark)
-SELECT DISTINCT 'd' || doc_id AS caller, token AS callee FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents) WHERE token IN (SELECT name FROM names WHERE length(name) >= 6)""")
-def incremental_equals_full(spark, sf):
-    names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct().filter(F.length("name") >= 6).select(F.col("name").alias("id"), "name")
-    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"), "doc_id")
-    before = docs.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit("other Words")).otherwise(F.col("body")))
-    symbols = docs.select("id", "path").unionByName(names.select("id", F.lit("names").alias("path")))
-    changed = docs.filter("doc_id % 7 = 0").select("path")
-    return state.incremental_edges(joins.token_edges(before, names), symbols, changed, lambda dirty: joins.token_edges(docs.join(dirty.select("id"), "id", "left_semi"), names))
-
-
 @query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM benchmark)
 SELECT DISTINCT 'd' || doc_id AS caller, token AS callee FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS token FROM documents) WHERE token IN (SELECT name FROM names)""")
-def incremental_equals_full_all(spark, sf):
-    """incremental_equals_full with names of any length that the identifier pattern has."""
+def incremental_equals_full(spark, sf):
     names = _t(spark, sf, "benchmark").select(F.explode(X.identifiers(F.col("text"))).alias("name")).distinct().select(F.col("name").alias("id"), "name")
     docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body"), "doc_id")
     before = docs.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit("other Words")).otherwise(F.col("body")))
@@ -521,3 +495,6 @@ def faithfulness(spark, sf):
     v = _t(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("id"), F.length("text").alias("n"), "lang", F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
     verdict = F.when(F.col("lang") == "en", "no-source").when(F.col("n") % 2 == F.col("i") % 2, "entailed").otherwise("neutral")
     return aggregates.faithfulness(v.select("id", verdict.alias("verdict"))).select("id", F.round("faithfulness", 6).alias("faithfulness"), "claims")
+
+
+from . import lookups as _lookups  # noqa: E402, F401 - registers its queries
