@@ -23,7 +23,7 @@ def test_matches_span_lines_and_keep_their_anchor(spark):
     text = "a\nREGISTER(\n  Add)\n\nREGISTER(Relu)"
     df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id int, text string")
     assert rows(X.anchored_matches(df, "text", r"REGISTER\(\s*(\w+)\)", 1, ["id"])) == [(1, 2, "Add"), (1, 5, "Relu")]
-    assert X.java_pattern("(?P<op>a)(?P<v>b)") == ("(?<op>a)(?<v>b)", {"op": 1, "v": 2})
+    assert X.java_pattern("(?P<op>a)(?P<v>b)") == ("(a)(b)", {"op": 1, "v": 2})
 
 
 def test_tokens(spark):
@@ -146,7 +146,7 @@ def test_lint_and_ladder(spark):
 def test_retrieval(spark):
     symbols = spark.createDataFrame([("s1", "Add", "cpu/add.cc", 0.5), ("s2", "RunAll", "cpu/run.cc", 1.0), ("s3", "Relu", "cpu/relu.cc", 0.1)], "id string, name string, path string, importance double")
     edges = spark.createDataFrame([("s2", "s1")], "caller string, callee string")
-    ops = spark.createDataFrame([("op:Add:14", "Add")], "id string, name string")
+    ops = spark.createDataFrame([("Add", "14"), ("Add", "14")], "op_name string, version string")
     got = {r["id"]: (r["score"], r["precision"]) for r in retrieve.relevant_code("how is add done", symbols, edges, ops).collect()}
     assert got == {"s1": (6.0, "exact"), "op:Add:14": (4.0, "op"), "s2": (0.8, "expanded")}
     empty = spark.createDataFrame([], symbols.schema)
@@ -203,12 +203,13 @@ def test_edge_index_and_freshness(spark, tmp_path):
     for _ in range(2):
         files.write_edge_index(edges, str(tmp_path / "index"))
     for end in ("caller", "callee"):
-        assert rows(spark.read.parquet(str(tmp_path / "index" / f"by_{end}"))) == rows(edges)
-    stamp = files.freshness(spark, str(tmp_path / "index"))
+        assert rows(files.read_edge_index(spark, str(tmp_path / "index"), end)) == rows(edges)
+    edges.write.parquet(str(tmp_path / "source"))
+    stamp = files.freshness(spark, str(tmp_path / "source"))
     kept = spark.createDataFrame(stamp.collect(), stamp.schema)
-    assert files.is_fresh(files.freshness(spark, str(tmp_path / "index")), kept)
-    edges.write.parquet(str(tmp_path / "index" / "more"))
-    assert not files.is_fresh(files.freshness(spark, str(tmp_path / "index")), kept)
+    assert files.is_fresh(files.freshness(spark, str(tmp_path / "source")), kept)
+    edges.write.parquet(str(tmp_path / "source" / "more"))
+    assert not files.is_fresh(files.freshness(spark, str(tmp_path / "source")), kept)
 
 
 def test_records(spark, tmp_path):
