@@ -6,7 +6,10 @@ turn; runs of equal children count as one. The presentation of an element is
 important if its styles differ from page to page (entropy to the base of the
 number of its pages); the content of a leaf (a text or a reference) is important
 if what it holds differs (one minus the mean entropy of its values over the
-pages). A node's composite importance adds to its own that of its styles, damped
+pages). As a site with few pages shows little repetition, a node's own importance
+is drawn towards that of all nodes, of any site, on the same path of tags and
+classes, as if the site had POOLED more pages like them: templates that sites
+share are known by what they repeat everywhere. A node's composite importance adds to its own that of its styles, damped
 by GAMMA to the power of their number. A node is noise if neither it nor anything
 below reaches LEAST; every page loses the branches that are mapped to noise.
 
@@ -14,8 +17,9 @@ A site is the host of the URL. Its tree, that is its distinct nodes and not its
 pages, is weighed by one task. The nodes found to be noise are sent to all
 workers if they are few (BROADCAST_NODES), else joined with the pages.
 
-Defined cases: a page whose URL has no host is a site of its own, and nodes that
-one page of a site has are important, so that nothing is removed from them. Null,
+Defined cases: a page whose URL has no host is a site of its own. Nodes that one
+page of a site has are as important as those on their path elsewhere, and a path
+that one page has is important. Null,
 empty and text-free pages give an empty text. Scripts, styles, comments and
 titles are no text. Elements nested deeper than DEPTH belong to their ancestor
 there. Pages of any length are parsed whole. Repeated rows count as pages each
@@ -25,7 +29,6 @@ read nor returned.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from html import unescape
@@ -41,7 +44,9 @@ from .common import cut, table
 GAMMA = 0.9
 #: Texts drawn from 60 variants on 350 pages have an importance of 0.7; those that seldom recur have 0.98.
 LEAST = 0.8
-DEPTH = 64
+#: Elements nested deeper belong to the ancestor there, so that closing tags search no further; no text is lost.
+DEPTH = 256
+POOLED = 100
 BROADCAST_NODES = 1_000_000
 
 _TOKEN = re.compile(
@@ -185,7 +190,7 @@ def mapped(page: Page, site: str) -> tuple[list[int], list[int], list[int]]:
     return node, style, above
 
 
-_ROWS = "site string, node long, above long, leaf boolean, depth int, item long, n long, first int"
+_ROWS = "site string, node long, above long, leaf boolean, depth int, path long, item long, shared long, n long, first int"
 
 
 def _observe(batches):
@@ -196,26 +201,46 @@ def _observe(batches):
             page = Page(html)
             node, style, above = mapped(page, site)
             tags, values, parents = page.tags, page.values, page.parents
-            depth = [0] * len(node)
-            about: dict[int, tuple[int, bool, int]] = {}
+            depth, path = [0] * len(node), paths(page)
+            about: dict[int, tuple[int, bool, int, int]] = {}
             seen: dict[tuple[int, int], int] = {}
+            like: dict[int, int] = {}
             for i, k in enumerate(node):
                 if i:
                     depth[i] = depth[parents[i]] + 1
+                about[k] = (above[i], tags[i] in _LEAVES, depth[i], path[i])
                 if tags[i] in _LEAVES:
-                    about[k] = (above[i], True, depth[i])
-                    key = (k, xxhash.xxh64_intdigest(values[i].encode("utf-8", "replace")) - (1 << 63))
+                    item = xxhash.xxh64_intdigest(values[i].encode("utf-8", "replace")) - (1 << 63)
+                    like[item] = item
                 else:
-                    about[k] = (above[i], False, depth[i])
-                    key = (k, style[i])
-                seen[key] = seen.get(key, 0) + 1
+                    item = style[i]
+                    like[item] = _id("|".join(run_of(page, i)))
+                seen[k, item] = seen.get((k, item), 0) + 1
             fresh = set(about)
             for (k, item), c in seen.items():
                 first = k in fresh
                 fresh.discard(k)
-                rows.append((site, k, *about[k], item, c, int(first)))
-        out = list(zip(*rows)) if rows else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["site", "node", "above", "leaf", "depth", "item", "n", "first"])
+                rows.append((site, k, *about[k], item, like[item], c, int(first)))
+        out = list(zip(*rows)) if rows else [[]] * 10
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["site", "node", "above", "leaf", "depth", "path", "item", "shared", "n", "first"])
+
+
+def run_of(page: Page, i: int) -> list[str]:
+    """Keys of a node's children, runs of equal ones once."""
+    run: list[str] = []
+    for k in page.children[i]:
+        if not run or run[-1] != page.keys[k]:
+            run.append(page.keys[k])
+    return run
+
+
+def paths(page: Page) -> list[int]:
+    """Of each node, the path of tags and classes from the root, hashed: the same on all sites."""
+    out = [_id("path")] * len(page.tags)
+    for i in range(1, len(out)):
+        out[i] = _child(out[page.parents[i]], _id(page.keys[i]))
+    return out
 
 
 def site_of(pages: DataFrame) -> DataFrame:
@@ -257,17 +282,24 @@ def weigh(nodes: list[tuple[int, int, int, float]], styles: list[tuple[int, int,
 
 def importances(observed: DataFrame) -> DataFrame:
     """(site, node, above, depth, own, styles) of each node of the merged trees."""
-    c = F.col("n").cast("double")
-    keys = ["site", "node", "above", "leaf", "depth"]
-    items = observed.groupBy(*keys, "item").agg(F.sum(c).alias("c"), F.sum(c * F.log(c)).alias("cl"), F.sum("first").alias("m"))
+    n = F.col("n").cast("double")
+    keys = ["site", "node", "above", "leaf", "depth", "path"]
+    sums = [F.sum("c").alias("c"), F.sum("cl").alias("cl"), F.sum("m").alias("m")]
+    items = cut(observed.groupBy(*keys, "item", "shared").agg(F.sum(n).alias("c"), F.sum(n * F.log(n)).alias("cl"), F.sum("first").alias("m")))
     style = F.when(~F.col("leaf"), F.struct("item", F.col("c").cast("long").alias("times")))
-    nodes = items.groupBy(*keys).agg(
-        F.sum("m").alias("m"), F.count("*").alias("l"), F.sum("c").alias("all"), F.sum(F.col("c") * F.log("c")).alias("styled"), F.sum(F.log("c") - F.col("cl") / F.col("c")).alias("spread"), F.collect_list(style).alias("styles")
-    )
+    nodes = _own(items.groupBy(*keys), [F.collect_list(style).alias("styles")])
+    shared = _own(items.groupBy("path", "leaf", "shared").agg(*sums).groupBy("path", "leaf"), []).select("path", "leaf", F.col("own").alias("pooled"))
+    seen = F.col("m") - 1
+    own = F.round((seen * F.col("own") + POOLED * F.col("pooled")) / (seen + POOLED), 9)
+    return nodes.join(shared, ["path", "leaf"]).select("site", "node", "above", "depth", own.alias("own"), "styles")
+
+
+def _own(groups, more: list) -> DataFrame:
+    """Importance of each group by the entropies of its items(c, cl, m) over the pages; 1 for what one page has."""
+    found = groups.agg(F.sum("m").alias("m"), F.count("*").alias("l"), F.sum("c").alias("all"), F.sum(F.col("c") * F.log("c")).alias("styled"), F.sum(F.log("c") - F.col("cl") / F.col("c")).alias("spread"), *more)
     leaf = 1 - F.col("spread") / F.col("l") / F.log(F.col("m").cast("double"))
     inner = (F.log("all") - F.col("styled") / F.col("all")) / F.log(F.col("m").cast("double"))
-    own = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.when(F.col("leaf"), leaf).otherwise(inner), 9))))
-    return nodes.select("site", "node", "above", "depth", own.alias("own"), "styles")
+    return found.withColumn("own", F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.when(F.col("leaf"), leaf).otherwise(inner), 9)))))
 
 
 def _weigh(tree: pa.Table) -> pa.Table:
@@ -348,20 +380,6 @@ def text_of(html: str | None) -> str:
     return Page(html).text()
 
 
-def own_importance(counts: list[list[int]], leaf: bool, pages: int) -> float:
-    """Importance of a node from its values' counts in each page."""
-    if pages < 2:
-        return 1.0
-    base = math.log(pages)
-    if leaf:
-        spread = [-sum(c / sum(v) * math.log(c / sum(v)) for c in v) for v in counts]
-        raw = 1 - sum(spread) / len(spread) / base
-    else:
-        sums = [sum(v) for v in counts]
-        raw = -sum(s / sum(sums) * math.log(s / sum(sums)) for s in sums) / base
-    return min(1.0, max(0.0, round(raw, 9)))
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(table(spark, sf_dir, "pages"))

@@ -198,30 +198,61 @@ def test_images():
     assert media.image_tiles(b"P6 9 9 255\n123")[0][-1] == "truncated" and media.image_tiles(None)[0][-1] == "empty" and media.image_tiles(b"GIF89a")[0][-1] == "unknown format"
 
 
+def _spread(counts, pages):
+    """Entropy of counts by page, to the base of the number of pages."""
+    total = sum(counts)
+    return -sum(c / total * np.log(c / total) for c in counts) / np.log(pages)
+
+
+def _importance(held, leaf):
+    """Of {item: {page: count}}: one minus the mean entropy of a leaf's items over the pages, or the entropy of an element's styles."""
+    pages = sum(len({p for by in held.values() for p in by if p[1] == node}) for node in {p[1] for by in held.values() for p in by})
+    if pages < 2:
+        return 1.0
+    raw = 1 - np.mean([_spread(list(by.values()), pages) for by in held.values()]) if leaf else _spread([sum(by.values()) for by in held.values()], pages)
+    return min(1.0, max(0.0, round(float(raw), 9)))
+
+
 def _brute_force(pages):
-    """Each page's text by the merged tree, in memory."""
-    sites = collections.defaultdict(list)
-    for page_id, url, html in pages:
-        sites[url.split("/")[2]].append((page_id, style_tree.Page(html)))
-    out = {}
-    for site, own in sites.items():
-        seen, m, about = collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), collections.defaultdict(set), {}
-        for n, (_, page) in enumerate(own):
-            node, style, above = style_tree.mapped(page, site)
-            depth = [0] * len(node)
-            for i, k in enumerate(node):
-                depth[i] = depth[page.parents[i]] + 1 if i else 0
-                leaf = page.tags[i] in ("#text", "#ref")
-                about[k] = (above[i], leaf, depth[i])
-                seen[k][page.values[i] if leaf else style[i]][n] += 1
-                m[k].add(n)
-        nodes = [(k, a, d, style_tree.own_importance([list(c.values()) for c in seen[k].values()], leaf, len(m[k]))) for k, (a, leaf, d) in about.items()]
-        styles = [(k, item, sum(c.values())) for k, (_, leaf, _) in about.items() if not leaf for item, c in seen[k].items()]
-        noise = style_tree.weigh(nodes, styles)[1]
-        for page_id, page in own:
-            node = style_tree.mapped(page, site)[0]
-            out[page_id] = page.text({i for i, k in enumerate(node) if k in noise})
-    return out
+    """Each page's text by the merged tree, in memory: nodes are (site, chain of styles and places), by recursion."""
+    parsed = [(page_id, url.split("/")[2], style_tree.Page(html)) for page_id, url, html in pages]
+    node_of, held, pool, about, children = {}, collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), {}, collections.defaultdict(set)
+    for n, (_, site, page) in enumerate(parsed):
+
+        def walk(i, node, path):
+            leaf = page.tags[i] in ("#text", "#ref") and not page.children[i]
+            runs = [(k, list(g)) for k, g in itertools.groupby(page.children[i], key=lambda c: page.keys[c])]
+            style = tuple(k for k, _ in runs)
+            item = page.values[i] if leaf else style
+            node_of[n, i], about[node] = node, (leaf, path)
+            held[node][item][n, node] += 1
+            pool[path, leaf][item][n, node] += 1
+            for place, (key, own) in enumerate(runs):
+                for c in own:
+                    below = (node, style, place)
+                    children[node, style].add(below)
+                    walk(c, below, (*path, key))
+
+        walk(0, (site,), ())
+    value, best = {}, {}
+
+    def weigh(node):
+        leaf, path = about[node]
+        pages = len({p for by in held[node].values() for p in by})
+        own = round(((pages - 1) * _importance(held[node], leaf) + style_tree.POOLED * _importance(pool[path, leaf], leaf)) / (pages - 1 + style_tree.POOLED), 9)
+        kids = [] if leaf else [(sum(by.values()), sorted(children[node, style])) for style, by in held[node].items() if children[node, style]]
+        for _, ks in kids:
+            for k in ks:
+                weigh(k)
+        value[node] = best[node] = own
+        if kids:
+            damp = style_tree.GAMMA ** len(held[node])
+            value[node] = (1 - damp) * own + damp * sum(t * sum(value[k] for k in ks) / len(ks) for t, ks in kids) / sum(t for t, _ in kids)
+            best[node] = max(value[node], *(best[k] for _, ks in kids for k in ks))
+
+    for site in {s for _, s, _ in parsed}:
+        weigh((site,))
+    return {page_id: page.text({i for i in range(len(page.tags)) if best[node_of[n, i]] < style_tree.LEAST}) for n, (page_id, _, page) in enumerate(parsed)}
 
 
 def _site(n=90):
@@ -239,6 +270,11 @@ def test_style_tree_against_brute_force(spark):
         got = {r["page_id"]: r["text"] for r in style_tree.extract(df, nodes).collect()}
         assert got == want
     assert got[1000] == "only page link"
+    small = [(i, f"https://s{i % 20}.example/p{i}", h) for i, _, h in _site(100)]  # five pages a site, of one template
+    df = spark.createDataFrame(small, "page_id long, url string, html string")
+    shared = {r["page_id"]: r["text"] for r in style_tree.extract(df).collect()}
+    assert shared == _brute_force(small) and not any("Home" in t or "Buy" in t for t in shared.values())
+    assert all(len(t.split()) >= 5 for t in shared.values())
     page = got[5]
     assert "Home" not in page and "Buy" not in page and "a.example" not in page and len(page.split()) == 2 + 3 * 3
 
