@@ -41,8 +41,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return state.select("id", "rank")
 
 
-def _expand(seen: DataFrame, frontier: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    found = edges.join(frontier.select(F.col("id").alias("callee")), "callee").groupBy(F.col("caller").alias("id")).agg(F.min("callee").alias("via"))
+#: Bytes of ids up to which a frontier is sent to the workers; a larger one is joined by shuffling.
+SENT_BYTES = 8 << 20
+
+
+def _weight(ids: DataFrame) -> tuple[int, int]:
+    """Rows, and the bytes that their ids take at most."""
+    n, size = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("id") + 16), F.lit(0))).first()
+    return n, size
+
+
+def _expand(seen: DataFrame, frontier: DataFrame, size: int, edges: DataFrame, depth: int) -> DataFrame:
+    frontier = frontier.select(F.col("id").alias("callee"))
+    found = edges.join(F.broadcast(frontier) if size <= SENT_BYTES else frontier, "callee").groupBy(F.col("caller").alias("id")).agg(F.min("callee").alias("via"))
     return cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via"))
 
 
@@ -53,10 +64,11 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int, budget: int | None =
     """
     frontier = cut(seeds.select("id").distinct())
     seen = frontier.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
-    found = 0
+    found, (_, size) = 0, _weight(frontier)
+    edges = cut(edges.select("caller", "callee")) if depth > 1 else edges
     for d in range(1, max(1, depth) + 1):
-        frontier = _expand(seen, frontier, edges, d)
-        n = frontier.count()
+        frontier = _expand(seen, frontier, size, edges, d)
+        n, size = _weight(frontier)
         seen, found = seen.unionByName(frontier), found + n
         if not n or budget is not None and found >= budget:
             break
@@ -69,10 +81,12 @@ def dirty_set(edges: DataFrame, changed: DataFrame, fold_changed: DataFrame) ->
     open_ids = fold_changed.select("id").distinct()
     frontier = cut(changed.select("id").distinct())
     seen, depth = frontier.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), 0
+    edges, (_, size) = cut(edges.select("caller", "callee")), _weight(frontier)
     while True:
         depth += 1
-        frontier = _expand(seen, frontier.join(open_ids, "id", "left_semi"), edges, depth)
-        if frontier.isEmpty():
+        frontier = _expand(seen, frontier.join(open_ids, "id", "left_semi"), size, edges, depth)
+        n, size = _weight(frontier)
+        if not n:
             return seen.select("id")
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
