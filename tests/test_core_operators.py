@@ -109,13 +109,15 @@ def test_reports(spark):
     assert rows(aggregates.faithfulness(verdicts)) == [("a", 2, 1, 1, 1.0), ("b", 1, 0, 0, None)]
 
 
-def test_graph(spark):
+def test_graph(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("e", "c")], "caller string, callee string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     ranks = graph.pagerank(ids(*"abcdef"), edges, rounds=12).collect()
     assert abs(sum(r["rank"] for r in ranks) - 1) < 1e-9 and all(r["rank"] > 0 for r in ranks)
     assert rows(graph.callers(edges, ids("d"), 2)) == [("b", 2, "c"), ("c", 1, "d"), ("e", 2, "c")]
     assert graph.callers(edges, ids("d"), 3, budget=1).count() == 1
+    monkeypatch.setattr(graph, "SENT_BYTES", -1)  # every frontier is joined by shuffling
+    assert rows(graph.callers(edges, ids("d"), 2)) == [("b", 2, "c"), ("c", 1, "d"), ("e", 2, "c")]
     none = spark.createDataFrame([], "id string")
     assert rows(graph.dirty_set(edges, ids("c"), none)) == [("c",)]
     assert rows(graph.dirty_set(edges, ids("c"), ids("c"))) == [("b",), ("c",), ("e",)]
