@@ -94,11 +94,38 @@ def reuse(inputs: DataFrame, cache: DataFrame) -> DataFrame:
     return inputs.join(cache.select("id", "hash", "summary", "status"), ["id", "hash"], "left").withColumn("cached", F.col("status").isNotNull())
 
 
+def _hashed(batches):
+    """(module, n, hash) of sorted batches(module, preview), each text after a zero byte; without a text there is no hash."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def done():
+        return pa.RecordBatch.from_pylist([{"module": module, "n": n, "hash": sha.hexdigest() if any_text else None}], pa.schema([("module", pa.string()), ("n", pa.int64()), ("hash", pa.string())]))
+
+    module, n, sha, any_text = None, 0, hashlib.sha256(), False
+    for batch in batches:
+        for own, text in zip(batch.column("module").to_pylist(), batch.column("preview").cast(pa.binary())):
+            if n and own != module:
+                yield done()
+                n, sha, any_text = 0, hashlib.sha256(), False
+            module, n = own, n + 1
+            if text.is_valid:
+                sha.update(b"\0")
+                sha.update(text.as_buffer())
+                any_text = True
+    if n:
+        yield done()
+
+
 def synthesis_inputs(previews: DataFrame) -> DataFrame:
-    """(module, n, hash): previews(path, preview) by directory, hashed in order."""
+    """(module, n, hash): previews(path, preview) by directory, hashed in order.
+
+    SHA-256 is a chain, so a directory's texts go through one task, as a sorted stream that is never held whole.
+    """
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    g = previews.groupBy(F.when(folder == "", "(root)").otherwise(folder).alias("module")).agg(F.count("*").alias("n"), F.collect_list("preview").alias("previews"))
-    return g.select("module", "n", X.input_hash(F.lit(""), F.col("previews")).alias("hash"))
+    rows = previews.select(F.when(folder == "", "(root)").otherwise(folder).alias("module"), "preview")
+    return rows.repartition("module").sortWithinPartitions("module", "preview").mapInArrow(_hashed, "module string, n long, hash string")
 
 
 FINDING = "id string, created_at timestamp, author string, codebase string, text string, kind string, symbol_ids array<string>, symbol_span_hashes map<string,string>, confidence string, status string, promoted_case_id string, ordinal long"

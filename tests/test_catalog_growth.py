@@ -1,10 +1,12 @@
 """Queries that grew faster than their input: the same results by brute force, in bounded memory and time."""
 
+import hashlib
 import itertools
+import time
 
 import numpy as np
 
-from sparkloom.operators import vectors
+from sparkloom.operators import state, vectors
 
 
 def test_near_duplicates_over_blocks(spark, monkeypatch):
@@ -34,3 +36,16 @@ def test_near_duplicates_write_no_candidates(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan
     assert "Exchange hashpartitioning" not in plan and sum(r["n"] for r in pairs.collect()) > 1500
+
+
+def test_modules_are_hashed_as_streams(spark):
+    texts = [("a/b", i, f"{i * 7919 % 3000:05d}" + "é\0" * 2000 if i % 9 else None) for i in range(3000)] + [("c", 1, "x"), ("", 2, "y"), ("", 3, "x"), ("e", 4, None)]
+    table = spark.createDataFrame([(f"{m}/{i}".lstrip("/"), t) for m, i, t in texts], "path string, preview string").repartition(5)
+    began = time.time()
+    got = {r["module"]: (r["n"], r["hash"]) for r in state.synthesis_inputs(table).collect()}
+    assert time.time() - began < 30  # joining the texts one by one takes the square of their number
+    for module in ("a/b", "c", "", "e"):
+        own = sorted(t.encode() for m, _, t in texts if m == module and t is not None)
+        want = hashlib.sha256(b"".join(b"\0" + t for t in own)).hexdigest() if own else None
+        assert got[module or "(root)"] == (sum(m == module for m, *_ in texts), want)
+    assert len(got) == 4 and "collect_list" not in state.synthesis_inputs(table)._jdf.queryExecution().optimizedPlan().toString()
