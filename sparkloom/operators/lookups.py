@@ -6,6 +6,8 @@ but for get_summary and recipe_steps, whose one row then says so in ``error``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,21 @@ def anchor() -> Column:
     return F.concat("path", F.lit(" → "), "name")
 
 
+def held(words: DataFrame, texts: DataFrame, separator: str) -> DataFrame:
+    """(word, held): whether texts(text), joined by the separator, hold each of words(word); no rows if there is no text.
+
+    Words don't have the separator, so each lies between two of them: it is looked
+    up among the pieces, of the words' lengths, of the distinct parts.
+    """
+    own = words.filter("word is not null").distinct()
+    parts = texts.select(F.explode(F.split("text", re.escape(separator))).alias("part")).distinct()
+    lengths = own.select(F.length("word").alias("n")).distinct()  # fewer than the longest word has letters
+    starts = F.sequence(F.lit(1), F.length("part") - F.col("n") + 1)
+    pieces = parts.join(F.broadcast(lengths), F.length("part") >= F.col("n")).select(F.explode(F.transform(starts, lambda i: F.substring("part", i, F.col("n")))).alias("word"))
+    found = own.join(pieces.distinct().withColumn("found", F.lit(True)), "word", "left")
+    return found.crossJoin(F.broadcast(parts.limit(1).select(F.lit(True).alias("any")))).select("word", F.coalesce("found", F.lit(False)).alias("held"))
+
+
 def described(symbols: DataFrame, summaries: DataFrame) -> DataFrame:
     """symbols(id, path) with ``summary``: the last one of the id, else the first of the path; the ordinal decides."""
     kept = [c for c in summaries.columns if c != "ordinal"]

@@ -6,7 +6,8 @@ import time
 
 import numpy as np
 
-from sparkloom.operators import state, vectors
+from sparkloom.operators import lookups, state, vectors
+from sparkloom.plans import catalog
 
 
 def test_near_duplicates_over_blocks(spark, monkeypatch):
@@ -49,3 +50,17 @@ def test_modules_are_hashed_as_streams(spark):
         want = hashlib.sha256(b"".join(b"\0" + t for t in own)).hexdigest() if own else None
         assert got[module or "(root)"] == (sum(m == module for m, *_ in texts), want)
     assert len(got) == 4 and "collect_list" not in state.synthesis_inputs(table)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_coverage_searches_each_word_once(spark, tmp_path):
+    texts = ["The River runs", None, "", "foo.bar+baz  end", "émigré"]
+    names = ["river x", "iver", "verrun", "bar+b q", "o.b", "o\\wb", "émi", "", "zzz", "s foo", "runsfoo", None, "end", "ends", "Th_e r"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    whole = " ".join(t for t in texts if t is not None).lower()
+    keys = {i: n.lower().replace("_", "") for i, n in enumerate(names) if n is not None}
+    out = catalog.QUERIES["index_coverage"](spark, str(tmp_path))
+    assert {r["p_partkey"]: r["key"] for r in out.collect()} == {i: k for i, k in keys.items() if k.split(" ")[0] not in whole}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    words = spark.createDataFrame([("a",)], "word string")
+    assert lookups.held(words, spark.createDataFrame([(None,)], "text string"), " ").count() == 0
