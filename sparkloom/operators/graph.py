@@ -23,22 +23,44 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return down.unionByName(edges.filter(F.col("callee") == node).select(F.lit("caller").alias("direction"), F.col("caller").alias("id")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, every: int = 5) -> DataFrame:
-    """(id, rank): ranks sum to 1; what nodes without callees hold is spread evenly; repeated edges count."""
-    ids = nodes.select("id").distinct()
-    known = edges.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
-    out = known.groupBy("caller").agg(F.count("*").alias("degree"))
-    links = cut(known.join(out, "caller").groupBy("caller", "callee").agg((F.count("*") / F.first("degree")).alias("share")))
-    n = ids.count()
-    state = cut(ids.join(out.select(F.col("caller").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / max(n, 1)).alias("rank")))
+def pagerank(nodes: DataFrame | None, edges: DataFrame, damping: float = 0.85, rounds: int = 30, every: int = 5) -> DataFrame:
+    """(id, rank): ranks sum to 1; what nodes without callees hold is spread evenly; repeated edges count.
+
+    Without ``nodes`` they are the ends of the edges. Nodes that nobody calls have
+    one rank in every round: what they give each callee, as a share of it, is summed
+    once, and the rounds go over the other nodes and the edges between those.
+    """
+    known = edges.select("caller", "callee")
+    if nodes is not None:
+        ids = nodes.select("id").distinct()
+        known = known.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
+    known = cut(known)
+    out = known.groupBy("caller").agg(F.count("callee").alias("degree"))
+    called = known.groupBy("callee").agg((F.count("caller") > 0).alias("called"))
+    ends = out.join(called, F.col("caller").eqNullSafe(F.col("callee")), "full_outer")
+    ends = ends.select(F.coalesce("caller", "callee").alias("id"), F.when(F.col("caller").isNotNull() & (F.col("degree") > 0), F.col("degree")).alias("degree"), (F.col("callee").isNotNull() & F.coalesce("called", F.lit(False))).alias("called"))
+    if nodes is not None:
+        ends = ids.join(ends, "id", "left").withColumn("called", F.coalesce("called", F.lit(False)))
+    ends = cut(ends)
+    n, lone = ends.agg(F.count("*"), F.count_if(~F.col("called") & F.col("degree").isNull())).first()
+    givers = ends.filter("degree is not null").select(F.col("id").alias("caller"), "degree", "called")
+    shares = known.join(givers, "caller").groupBy(F.when(F.col("called"), F.col("caller")).alias("caller"), "callee").agg(F.sum(1 / F.col("degree")).alias("share")).filter("callee is not null")
+    shares = cut(shares)
+    links = shares.filter("caller is not null")
+    fed = shares.filter("caller is null").select(F.col("callee").alias("id"), F.col("share").alias("fed"))
+    # the row without an id stands for all nodes that nobody calls; ``loose`` is how many nodes of a row have no callees
+    state = ends.filter("called").join(fed, "id", "left").select("id", F.coalesce("fed", F.lit(0.0)).alias("fed"), F.when(F.col("degree").isNull(), 1).otherwise(0).cast("long").alias("loose"))
+    state = state.unionByName(ends.sparkSession.range(1).select(F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0.0).alias("fed"), F.lit(lone).cast("long").alias("loose")))
+    state = cut(state.withColumn("rank", F.lit(1.0 / max(n, 1))))
     for k in range(rounds):
         given = links.join(state.select(F.col("id").alias("caller"), "rank"), "caller").groupBy(F.col("callee").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        loose = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        rank = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
-        state = state.drop("rank").join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "linked", rank.alias("rank"))
+        whole = state.agg(F.sum(F.col("loose") * F.col("rank")).alias("held"), F.max(F.when(F.col("id").isNull(), F.col("rank"))).alias("own"))
+        rank = (1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("fed") * F.col("own") + F.col("held") / max(n, 1))
+        state = state.drop("rank").join(given, "id", "left").crossJoin(F.broadcast(whole)).select("id", "fed", "loose", rank.alias("rank"))
         if (k + 1) % every == 0:
             state = cut(state)
-    return state.select("id", "rank")
+    uncalled = ends.filter(~F.col("called")).select("id").crossJoin(F.broadcast(state.filter("id is null").select("rank")))
+    return state.filter("id is not null").select("id", "rank").unionByName(uncalled)
 
 
 #: Bytes of ids up to which a frontier is sent to the workers; a larger one is joined by shuffling.

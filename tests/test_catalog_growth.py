@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from sparkloom.operators import lookups, state, vectors
+from sparkloom.operators import graph, lookups, state, vectors
 from sparkloom.plans import catalog
 
 
@@ -64,3 +64,30 @@ def test_index_coverage_searches_each_word_once(spark, tmp_path):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
     words = spark.createDataFrame([("a",)], "word string")
     assert lookups.held(words, spark.createDataFrame([(None,)], "text string"), " ").count() == 0
+
+
+def _ranks(nodes, edges, rounds):
+    known = [(a, b) for a, b in edges if a in nodes and b in nodes]
+    degree = {i: sum(a == i for a, _ in known) for i in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        loose = sum(rank[i] for i in nodes if not degree[i])
+        rank = {i: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / degree[a] for a, b in known if b == i) + loose / len(nodes)) for i in nodes}
+    return rank
+
+
+def test_pagerank_goes_over_called_callers_only(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    edges = [(f"c{i}", f"s{rng.integers(0, 4)}") for i in range(60)] + [("s0", "n0"), ("s0", "n0"), ("s1", "n0"), ("s2", "n1"), ("n0", "n1"), ("n1", "n0"), ("n1", "end"), ("c1", "elsewhere")]
+    table = spark.createDataFrame(edges, "caller string, callee string")
+    ends = {i for e in edges for i in e}
+    joined, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: joined.append(cut(df)) or joined[-1])
+    for nodes in (None, (ends - {"elsewhere"}) | {"alone"}):
+        joined.clear()
+        given = None if nodes is None else spark.createDataFrame([(i,) for i in nodes] * 2, "id string")
+        got = {r["id"]: r["rank"] for r in graph.pagerank(given, table, rounds=7).collect()}
+        want = _ranks(nodes or ends, edges, 7)
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want) and abs(sum(got.values()) - 1) < 1e-9
+        assert joined[-1].count() < 12  # what a round goes over: no node that nobody calls
+    assert graph.pagerank(None, table.filter("false")).count() == 0
