@@ -77,7 +77,9 @@ def cited_changes(changed: DataFrame, cited: DataFrame) -> DataFrame:
 def tests_of(tests: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct (name, anchor): tests(anchor, text) that mention targets(name) longer than two."""
     tokens = tests.select("anchor", F.explode(F.array_distinct(X.identifiers(F.col("text")))).alias("name"))
-    return tokens.join(targets.filter(F.length("name") > 2).select("name").distinct(), "name", "left_semi").select("name", "anchor").distinct()
+    hits = tokens.join(targets.filter(F.length("name") > 2).select("name"), "name", "left_semi").select("name", "anchor")
+    # a token that all texts have is split among tasks only if both sides come as shuffled and its rows needn't stay together after the join
+    return hits.repartition("anchor").distinct()
 
 
 def merge_dependencies(targets: DataFrame, links: DataFrame) -> DataFrame:

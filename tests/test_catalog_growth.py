@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from sparkloom.operators import graph, lookups, state, vectors
+from sparkloom.operators import graph, joins, lookups, state, vectors
 from sparkloom.plans import catalog
 
 
@@ -91,3 +91,29 @@ def test_pagerank_goes_over_called_callers_only(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want) and abs(sum(got.values()) - 1) < 1e-9
         assert joined[-1].count() < 12  # what a round goes over: no node that nobody calls
     assert graph.pagerank(None, table.filter("false")).count() == 0
+
+
+def _small_tasks(spark, rows, parts):
+    """The rows and final plan of a query when partitions count as skewed and are split at a few kilobytes."""
+    own = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": str(parts),
+    }
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = rows()
+        got = sorted(tuple(r) for r in out.collect())
+        return got, out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tests_that_all_hold_a_word(spark):
+    files = spark.range(6000).selectExpr("concat('t', id) as anchor", "concat('every_file holds Add', id % 700, ' every_file') as text").repartition(8)
+    names = spark.range(500).selectExpr("concat('Add', id) as name").unionByName(spark.createDataFrame([("every_file",)], "name string"))
+    got, plan = _small_tasks(spark, lambda: joins.tests_of(files, names), 24)
+    assert got == sorted([("every_file", f"t{i}") for i in range(6000)] + [(f"Add{i % 700}", f"t{i}") for i in range(6000) if i % 700 < 500])
+    assert "skew=true" in plan
