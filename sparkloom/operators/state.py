@@ -12,6 +12,8 @@ from .ranking import first_wins
 KINDS = ("dead_end", "gotcha", "observation", "root_cause_hypothesis")
 MOST_CHARS = 2000
 NEAR = 0.6
+#: Edges of one callee beyond which they are parted, and in how many parts.
+MANY, PARTS = 100_000, 256
 
 
 def validate_findings(findings: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -73,13 +75,21 @@ def changed_paths(baseline: DataFrame, disk: DataFrame) -> DataFrame:
 def incremental_edges(old: DataFrame, symbols: DataFrame, changed: DataFrame, derive) -> DataFrame:
     """Edges whose caller's path is unchanged and whose ends exist, and those derived from the changed symbols.
 
-    ``derive`` makes edges from callers; symbols have (id, path).
+    ``derive`` makes edges from callers; symbols have (id, path). Edges of a callee
+    that very many call are parted by their caller, so that no task has them all.
     """
     there = symbols.select("id", "path")
     dirty = there.join(changed.select("path"), "path", "left_semi")
     clean = there.join(changed.select("path"), "path", "left_anti").select(F.col("id").alias("caller"))
-    kept = old.join(clean, "caller", "left_semi").join(there.select(F.col("id").alias("callee")), "callee", "left_semi")
-    return kept.select("caller", "callee").unionByName(derive(dirty)).distinct()
+    counted = old.groupBy("callee").agg(F.count("*").alias("n"))
+    many = F.col("n") > MANY
+    live = counted.join(there.select(F.col("id").alias("callee")), "callee", "left_semi").select("callee", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    hot = F.broadcast(counted.filter(many).select("callee", F.lit(True).alias("hot")))  # a row for so many edges at most
+    parted = old.join(clean, "caller", "left_semi").join(hot, "callee", "left")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("caller"), F.lit(PARTS)).cast("int")).otherwise(0)
+    kept = parted.withColumn("part", part).join(live, ["callee", "part"], "left_semi")
+    # parted before rows are made distinct, so that a task doesn't hold what it sorts and what it groups together
+    return kept.select("caller", "callee").unionByName(derive(dirty)).repartition("caller", "callee").distinct()
 
 
 def rebuild_plan(symbols: DataFrame, edges: DataFrame, changed: DataFrame, fold_changed: DataFrame) -> DataFrame:

@@ -117,3 +117,16 @@ def test_tests_that_all_hold_a_word(spark):
     got, plan = _small_tasks(spark, lambda: joins.tests_of(files, names), 24)
     assert got == sorted([("every_file", f"t{i}") for i in range(6000)] + [(f"Add{i % 700}", f"t{i}") for i in range(6000) if i % 700 < 500])
     assert "skew=true" in plan
+
+
+def test_edges_of_a_callee_that_all_call_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(state, "MANY", 500)
+    monkeypatch.setattr(state, "PARTS", 8)
+    callers = spark.range(4000).selectExpr("concat('d', id) as id", "concat('p', id) as path")
+    symbols = callers.unionByName(spark.createDataFrame([("all", "names"), ("few", "names"), ("few", "names2")], "id string, path string"))
+    old = callers.selectExpr("id as caller", "explode(if(int(substring(id, 2)) % 50 = 0, array('all', 'few', 'gone'), array('all', 'lost'))) as callee")
+    changed = spark.createDataFrame([("p7",), ("p100",)], "path string")
+    out = state.incremental_edges(old, symbols, changed, lambda dirty: dirty.selectExpr("id as caller", "'new' as callee"))
+    want = [(f"d{i}", "all") for i in range(4000) if i not in (7, 100)] + [(f"d{i}", "few") for i in range(0, 4000, 50) if i != 100] + [("d7", "new"), ("d100", "new")]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    assert "part" in out._jdf.queryExecution().optimizedPlan().toString()  # the join by callee is by part too
