@@ -129,4 +129,4 @@ def test_edges_of_a_callee_that_all_call_are_parted(spark, monkeypatch):
     out = state.incremental_edges(old, symbols, changed, lambda dirty: dirty.selectExpr("id as caller", "'new' as callee"))
     want = [(f"d{i}", "all") for i in range(4000) if i not in (7, 100)] + [(f"d{i}", "few") for i in range(0, 4000, 50) if i != 100] + [("d7", "new"), ("d100", "new")]
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
-    assert "part" in out._jdf.queryExecution().optimizedPlan().toString()  # the join by callee is by part too
+    assert "part#" in out._jdf.queryExecution().optimizedPlan().toString()  # the join by callee is by part too
